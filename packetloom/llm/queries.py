@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import fingerprints
-from packetloom.llm.common import written
+import public_tokenizers
+
+from packetloom.llm import bpe, fingerprints, packing, token_files
+from packetloom.llm.common import scratch_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +28,22 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.where(~F.coalesce(asked, F.lit(False))).withColumn("n_near", F.lit(None).cast("long")).unionByName(answers)
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints}
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact ids of every text, and the bytes decoded from them."""
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 ids, with end id 1."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents with end id 2, written as ORC and read back."""
+    target = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), target, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.digests(token_files.read_tokens(spark, target))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_byte_bpe": op2_byte_bpe, "op3_packing": op3_packing, "op4_token_files": op4_token_files}
 ORACLES: dict[str, str] = {}
