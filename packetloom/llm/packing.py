@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.words import part_encoder
+from packetloom.llm.words import encoded, narrow, widened
 
 SEQUENCE_BITS = 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -104,30 +104,21 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
     row = pa.schema([("doc_id", pa.int64()), ("group", pa.int64()), ("doc_tokens", pa.int64()), ("full", pa.list_(pa.int64())), ("rest", pa.binary())])
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, place = part_encoder(path), 0
-        step, end = 4 * capacity, np.array([end_id], dtype="<u4").tobytes()
-        out: list[list] = [[] for _ in row.names]
-        size = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = own.encode(text.as_py() or "") + end
-                full = len(ids) // step
-                place += 1
+        step, place = 4 * capacity, 0
+        for doc_ids, texts in encoded(batches, path, np.array([end_id], dtype="<u4").tobytes()):
+            out: list[list] = [[] for _ in row.names]
+            for doc_id, ids in zip(doc_ids, texts, strict=True):
+                full, place = len(ids) // step, place + 1
                 group = zlib.crc32(f"{seed},{doc_id},{place},{len(ids)}".encode()) % n_groups
-                rest = ids[full * step :]
-                for column, value in zip(out, (doc_id, group, len(ids) // 4, [zlib.crc32(ids[i * step : (i + 1) * step]) for i in range(full)], _narrow(rest)), strict=True):
+                crcs = [zlib.crc32(ids[i * step : (i + 1) * step]) for i in range(full)]
+                for column, value in zip(out, (doc_id, group, len(ids) // 4, crcs, narrow(ids[full * step :])), strict=True):
                     column.append(value)
-                size += len(rest)
-                if size > 1 << 21:
-                    yield pa.record_batch(out, schema=row)
-                    out, size = [[] for _ in row.names], 0
-        if out[0]:
             yield pa.record_batch(out, schema=row)
 
     def packed(key: tuple, group: pa.Table) -> pa.Table:
         base = key[0].as_py() << SEQUENCE_BITS
         rows = sorted(group.to_pylist(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["doc_tokens"], r["rest"]))
-        rests = [_widened(r["rest"]) for r in rows]
+        rests = [widened(r["rest"]) for r in rows]
         pieces, sequence = [], 0
         for r in rows:
             for i, crc in enumerate(r["full"]):
@@ -147,13 +138,3 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
 
     rests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, "doc_id long, group long, doc_tokens long, full array<long>, rest binary")
     return rests.groupBy("group").applyInArrow(packed, PIECES)
-
-
-def _narrow(ids: bytes) -> bytes:
-    """A width byte and the ids, in 16 bits if all fit."""
-    wide = np.frombuffer(ids, dtype="<u4")
-    return b"\2" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\4" + ids
-
-
-def _widened(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype("<u4")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import partitions, range_bounds, range_bucket
-from packetloom.llm.words import part_encoder
+from packetloom.llm.words import encoded, narrow, widened
 
 #: Writer settings: a row index entry every thousand rows, stripes of 64 MB, Bloom filters on doc_id.
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
@@ -38,21 +38,8 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = 2, bucke
     bounds = range_bounds(docs, "doc_id", buckets or partitions(spark))
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = part_encoder(path), np.array([end_id], dtype="<u4").tobytes()
-        out, size = [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(own.encode(text.as_py() or "") + end, dtype="<u4")
-                out.append((doc_id, (b"\2" + ids.astype("<u2").tobytes()) if ids.max() < 1 << 16 else b"\4" + ids.tobytes()))
-                size += len(out[-1][1])
-                if size > 1 << 21:
-                    yield _rows(out)
-                    out, size = [], 0
-        if out:
-            yield _rows(out)
-
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "packed"])
+        for doc_ids, texts in encoded(batches, path, np.array([end_id], dtype="<u4").tobytes()):
+            yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(map(narrow, texts), pa.binary())], names=["doc_id", "packed"])
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, start = None, 0
@@ -63,7 +50,7 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = 2, bucke
                 for at, data in zip(part.column("bucket").to_pylist(), part.column("packed").to_pylist(), strict=True):
                     if at != bucket:
                         bucket, start = at, 0
-                    ids = np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
+                    ids = widened(data)
                     starts.append(start)
                     lists.append(ids)
                     start += len(ids)
@@ -72,8 +59,8 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = 2, bucke
                 ids = pa.ListArray.from_arrays(ends, np.concatenate(lists).astype(np.int32))
                 yield pa.record_batch([part.column("bucket"), part.column("doc_id"), pa.array(starts, pa.int64()), pa.array(counts), ids], names=["bucket", "doc_id", "start", "n_tokens", "ids"])
 
-    encoded = docs.mapInArrow(tokens, "doc_id long, packed binary").withColumn("bucket", range_bucket(F.col("doc_id"), bounds))
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "packed")
+    rows = docs.mapInArrow(tokens, "doc_id long, packed binary").withColumn("bucket", range_bucket(F.col("doc_id"), bounds))
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "packed")
     dealt.select("bucket", "doc_id", "packed").mapInArrow(placed, FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(target)
 
 

@@ -8,15 +8,20 @@ parts met before come from a bounded table. ``check_independent`` refuses vocabu
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Parts kept in one Python worker, and the longest that is kept.
 CACHED_PARTS, CACHED_CHARS = 600_000, 48
 
 _split = re.compile("[ \n\r\t]+").split
+_plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 def check_independent(path: str) -> None:
@@ -30,31 +35,50 @@ def check_independent(path: str) -> None:
 
 
 class PartEncoder:
-    """Ids as little-endian unsigned 32-bit integers."""
+    """Ids as unsigned 32-bit integers, little-endian."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         check_independent(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        suffix = self.library.model.end_of_word_suffix
+        if suffix:
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        found = self.library.encode_batch_fast(parts, add_special_tokens=False)
-        return {part: np.array(x.ids, dtype="<u4").tobytes() for part, x in zip(parts, found, strict=True)}
-
-    def encode(self, text: str) -> bytes:
-        parts = _split(text)
+    def _learn(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Parts of plain letters are one word each, so many can go in one text: each ends where a word-end id stands."""
+        plain = [p for p in parts if _plain(p)]
+        rest = [p for p in parts if not _plain(p)]
+        for lo in range(0, len(plain), 4096):
+            some = plain[lo : lo + 4096]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                rest += some
+                continue
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            yield from zip(some, map(data.__getitem__, map(slice, at[:-1], at[1:])), strict=True)
+        for part, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            yield part, array("I", found.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Of each whole text; parts that are new are encoded in one call for all of them."""
+        split = [_split(text) for text in texts]
         known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        fresh = self._learn([p for p in dict.fromkeys(parts) if p not in known])
-        ids = b"".join([known[p] if p in known else fresh[p] for p in parts])
+        fresh = [p for p in set().union(*split) if p not in known]
         if len(known) + len(fresh) > CACHED_PARTS:
             known.clear()
-        known.update((p, b) for p, b in fresh.items() if len(p) <= CACHED_CHARS)
+            fresh = list(set().union(*split))
+        known.update(self._learn(fresh))
+        ids = [b"".join([known[p] for p in parts]) for parts in split]
+        for part in fresh:
+            if len(part) > CACHED_CHARS:
+                del known[part]
         return ids
 
 
@@ -62,3 +86,29 @@ class PartEncoder:
 def part_encoder(path: str) -> PartEncoder:
     """One for each Python worker and vocabulary."""
     return PartEncoder(path)
+
+
+def encoded(batches: Iterable[pa.RecordBatch], path: str, end: bytes, size: int = 1 << 21) -> Iterator[tuple[list, list[bytes]]]:
+    """Lists of doc_id and of ids with the end id, some ``size`` characters of whole texts at a time."""
+    own = part_encoder(path)
+    doc_ids, texts, total = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            doc_ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            total += len(texts[-1])
+            if total > size:
+                yield doc_ids, [ids + end for ids in own.encode(texts)]
+                doc_ids, texts, total = [], [], 0
+    if doc_ids:
+        yield doc_ids, [ids + end for ids in own.encode(texts)]
+
+
+def narrow(ids: bytes) -> bytes:
+    """A width byte and the ids, in 16 bits if all fit."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    return b"\2" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\4" + ids
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype("<u4")
