@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from packetloom.llm import bpe, fingerprints, packing, token_files
+from packetloom.llm import bpe, fingerprints, near_duplicates, packing, token_files, toxicity
 from packetloom.llm.common import scratch_path, written
 
 
@@ -45,5 +45,26 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, target))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_byte_bpe": op2_byte_bpe, "op3_packing": op3_packing, "op4_token_files": op4_token_files}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or scores of all documents, and where the offending sentences are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "offending")
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, and components of links at 2 or fewer differing bits."""
+    found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_packing": op3_packing,
+    "op4_token_files": op4_token_files,
+    "op7_toxicity": op7_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
+}
 ORACLES: dict[str, str] = {}
