@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from packetloom.llm import bpe, fingerprints, near_duplicates, packing, token_files, toxicity
+from packetloom.llm import bpe, fingerprints, line_dedup, near_duplicates, packing, quality, secret_scan, token_files, toxicity, url_filter
 from packetloom.llm.common import scratch_path, written
 
 
@@ -45,6 +45,30 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, target))
 
 
+#: Rules first; then the listed URLs: sites whose pages are refused where no rule speaks.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+URL_LIST = [("block", f"{site}.example.{top}/") for site in ("spam-farm", "adult-x") for top in ("com", "net", "org")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages, by the rules and else by the list."""
+    listed = url_filter.entries(spark, [(v, e, True) for v, e in URL_RULES] + [(v, e, False) for v, e in URL_LIST])
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed).drop("url")
+
+
+def _is_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, scanned into a new ledger and joined back."""
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    found = secret_scan.scan(versions, scratch_path(spark, "ledger"))
+    base = secret_scan.base_spans(F.col("spans"))
+    counts = [F.size(F.filter("spans", _is_kind(kind))).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE]
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy-or scores of all documents, and where the offending sentences are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,12 +83,26 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that are boilerplate of their source."""
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts for all documents."""
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op5_url_filter": op5_url_filter,
+    "op6_secret_scan": op6_secret_scan,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {}
