@@ -123,3 +123,29 @@ def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) ->
     """Bring the ledger up to date with ``versions`` (path, text), and give (path, blob, spans) for all of them."""
     update_ledger(versions, ledger, rule_version)
     return findings(versions, ledger, rule_version)
+
+
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """``text`` with each span, or run of overlapping spans, replaced by ``mark``. Spans are sorted by start."""
+
+    def step(acc: Column, s: Column) -> Column:
+        ahead = s["start"] >= acc["at"]
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        return F.struct(F.when(ahead, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced, after bringing the ledger up to date; all columns are kept.
+
+    Only entries with findings are joined, by content; texts move only if those are too many to be sent to all
+    executors, which Spark decides by their size.
+    """
+    update_ledger(docs.select(F.col(path).alias("path"), F.col(text).alias("text")), ledger, rule_version)
+    entries = read_ledger(docs.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
+    entries = entries.groupBy("blob").agg(F.first("spans").alias("spans__")).withColumnRenamed("blob", "blob__")
+    joined = docs.join(entries, blob(F.col(text)) == F.col("blob__"), "left")
+    clean = F.when(F.col("spans__").isNotNull(), redacted(F.col(text), F.col("spans__"))).otherwise(F.col(text))
+    return joined.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns))

@@ -11,9 +11,10 @@ too; an empty table or list is fine; other columns are carried along.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,17 +90,18 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str =
             bloom.add(np.array([batch.h], dtype=np.int64))
         shared = spark.sparkContext.broadcast(bloom)
 
-        @F.pandas_udf("array<boolean>")
-        def may_hold(hashes):
-            import pandas as pd
+        hashes = free_name(out, "hashes_")
 
-            counts = hashes.map(len).to_numpy()
-            flat = np.concatenate([*hashes, np.zeros(0, dtype=np.int64)])
-            return pd.Series(np.split(shared.value.may_hold(flat), np.cumsum(counts)[:-1]) if len(counts) else [], dtype=object)
+        def possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of_row, hashed = batch.column(keys), batch.column(hashes)
+                held = shared.value.may_hold(hashed.flatten().to_numpy(zero_copy_only=False))
+                before = np.concatenate(([0], np.cumsum(held)))
+                ends = np.concatenate(([0], np.cumsum(of_row.value_lengths().to_numpy(zero_copy_only=False))))
+                left = pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), of_row.flatten().filter(pa.array(held)))
+                yield pa.record_batch([left if c == keys else batch.column(c) for c in batch.schema.names if c != hashes], names=[c for c in batch.schema.names if c != hashes])
 
-        held = may_hold(F.transform(F.col(keys), lambda k: F.xxhash64(k)))
-        both = F.arrays_zip(F.col(keys).alias("key"), held.alias("held"))
-        out = out.withColumn(keys, F.transform(F.filter(both, lambda x: x["held"]), lambda x: x["key"]))
+        out = out.withColumn(hashes, F.transform(F.col(keys), lambda k: F.xxhash64(k))).mapInArrow(possible, out.schema)
     none = out.where(F.size(keys) == 0).select(*kept, F.col(host).alias("host"), F.col(path).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     some = out.where(F.size(keys) > 0).withColumn(row_id, F.monotonically_increasing_id())
     tried = some.select(*some.columns, F.explode(keys).alias("key")).join(listed, "key", "left")
