@@ -1,7 +1,7 @@
 """Ids of whole texts by a `tokenizers` vocabulary whose words are independent of each other (operators 3 and 4).
 
 Where the vocabulary drops white space and never joins across it, the ids of a text are those of its parts
-between ASCII spaces and line ends, one after another. The library encodes every part that a worker hasn't met;
+between white space, one after another. The library encodes every part that a worker hasn't met;
 parts met before come from a bounded table. ``check_independent`` refuses vocabularies for which that isn't known.
 """
 
@@ -20,6 +20,8 @@ import pyarrow as pa
 #: Parts kept in one Python worker, and the longest that is kept.
 CACHED_PARTS, CACHED_CHARS = 600_000, 48
 
+#: Python's split() takes these four for white space, the vocabulary doesn't.
+_separator = re.compile("[\x1c-\x1f]").search
 _split = re.compile("[ \n\r\t]+").split
 _plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
@@ -28,7 +30,8 @@ def check_independent(path: str) -> None:
     with open(path) as file:
         spec = json.load(file)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    drops = any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s" in s["pattern"].get("Regex", "") for s in steps)
+    model, normal = spec.get("model") or {}, json.dumps(spec.get("normalizer"))
+    drops = model.get("type") == "BPE" and not model.get("dropout") and '"Lowercase"' in normal and any(s["type"] == "ByteLevel" and not s["use_regex"] for s in steps) and any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s" in s["pattern"].get("Regex", "") for s in steps)
     strips = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
     if not drops or strips or spec.get("post_processor") or (spec.get("truncation") or spec.get("padding")):
         raise ValueError(f"{path}: its words aren't known to be encoded independently")
@@ -39,36 +42,44 @@ class PartEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         check_independent(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        suffix = self.library.model.end_of_word_suffix
-        if suffix:
-            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.model = self.library.model
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: How the library writes the bytes of each lower-case letter that _plain admits, and the ids of single marks.
+        self.letters = {ord(c): as_bytes(c)[0][0] for c in map(chr, range(0x61, 0x100)) if _plain(c) and c == c.lower()}
+        self.marks = {c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}
         self.known: dict[str, bytes] = {}
 
+    def _word(self, word: str) -> bytes:
+        """Of a word of Latin-1 letters: what the vocabulary's model makes of its bytes, whatever the case."""
+        lower = word.lower()
+        found = self.known.get(lower)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(lower.translate(self.letters))]).tobytes()
+            if len(lower) <= CACHED_CHARS:
+                self.known[lower] = found
+        return found
+
     def _learn(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Parts of plain letters are one word each, so many can go in one text: each ends where a word-end id stands."""
-        plain = [p for p in parts if _plain(p)]
-        rest = [p for p in parts if not _plain(p)]
-        for lo in range(0, len(plain), 4096):
-            some = plain[lo : lo + 4096]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(some):
-                rest += some
-                continue
-            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            yield from zip(some, map(data.__getitem__, map(slice, at[:-1], at[1:])), strict=True)
+        """Words, and words with one mark after them, go to the model; all else through the whole library."""
+        rest = []
+        for part in parts:
+            if _plain(part):
+                yield part, self._word(part)
+            elif part[-1:] in self.marks and _plain(part[:-1]):
+                yield part, self._word(part[:-1]) + self.marks[part[-1]]
+            else:
+                rest.append(part)
         for part, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             yield part, array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each whole text; parts that are new are encoded in one call for all of them."""
-        split = [_split(text) for text in texts]
+        split = [text.split() if not _separator(text) else _split(text) for text in texts]
         known = self.known
         fresh = [p for p in set().union(*split) if p not in known]
         if len(known) + len(fresh) > CACHED_PARTS:
