@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Parts kept in one Python worker, and the longest that is kept.
-CACHED_PARTS, CACHED_CHARS = 600_000, 48
+CACHED_PARTS, CACHED_CHARS = 1_000_000, 48
 
 #: Python's split() takes these four for white space, the vocabulary doesn't.
 _separator = re.compile("[\x1c-\x1f]").search
@@ -54,45 +54,53 @@ class PartEncoder:
         self.marks = {c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}
         self.known: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        """Of a word of Latin-1 letters: what the vocabulary's model makes of its bytes, whatever the case."""
-        lower = word.lower()
-        found = self.known.get(lower)
-        if found is None:
-            found = array("I", [t.id for t in self.model.tokenize(lower.translate(self.letters))]).tobytes()
-            if len(lower) <= CACHED_CHARS:
-                self.known[lower] = found
-        return found
-
-    def _learn(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words, and words with one mark after them, go to the model; all else through the whole library."""
-        rest = []
+    def _learn(self, parts: list[str]) -> None:
+        """Words of Latin-1 letters, and those with one mark after them, go to the model, whatever their case; all else
+        goes through the whole library."""
+        known, tokenize, letters, marks, rest = self.known, self.model.tokenize, self.letters, self.marks, []
         for part in parts:
             if _plain(part):
-                yield part, self._word(part)
-            elif part[-1:] in self.marks and _plain(part[:-1]):
-                yield part, self._word(part[:-1]) + self.marks[part[-1]]
+                word, mark = part, None
+            elif part[-1] in marks and _plain(part[:-1]):
+                word, mark = part[:-1], part[-1]
             else:
                 rest.append(part)
+                continue
+            ids = known.get(word)
+            if ids is None:
+                lower = word.lower()
+                ids = known[word] = array("I", [t.id for t in tokenize(lower if lower.isascii() else lower.translate(letters))]).tobytes()
+            if mark:
+                known[part] = ids + marks[mark]
         for part, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            yield part, array("I", found.ids).tobytes()
+            known[part] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each whole text; parts that are new are encoded in one call for all of them."""
-        split = [text.split() if not _separator(text) else _split(text) for text in texts]
+        split = [text.split() if not _separator(text) else [p for p in _split(text) if p] for text in map(_folded, texts)]
         known = self.known
         fresh = [p for p in set().union(*split) if p not in known]
         if len(known) + len(fresh) > CACHED_PARTS:
             known.clear()
             fresh = list(set().union(*split))
-        known.update(self._learn(fresh))
+        self._learn(fresh)
         ids = [b"".join([known[p] for p in parts]) for parts in split]
         for part in fresh:
             if len(part) > CACHED_CHARS:
-                del known[part]
+                known.pop(part, None)
+                known.pop(part[:-1], None)
         return ids
 
 
+def _folded(text: str) -> str:
+    """Lower-cased where that can't change the ids, so that fewer parts are new: Latin-1 only, and no special token."""
+    try:
+        text.isascii() or text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 @lru_cache(maxsize=2)
 def part_encoder(path: str) -> PartEncoder:
     """One for each Python worker and vocabulary."""
