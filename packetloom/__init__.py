@@ -1,0 +1 @@
+"""packetloom: features from industrial and IT network captures, as Spark DataFrame operators."""
