@@ -36,7 +36,8 @@ def text_to_long(text: Column) -> Column:
     t = stripped(text)
     whole = F.when(t.rlike(INTEGER), F.regexp_replace(t, "_", "").try_cast("bigint"))
     d = text_to_double(text)
-    return F.coalesce(whole, F.when(~F.isnan(d) & (F.abs(d) < 9.3e18), d.try_cast("bigint")))
+    # most texts are plain digits, for which nothing more is evaluated
+    return F.coalesce(text.try_cast("bigint"), whole, F.when(~F.isnan(d) & (F.abs(d) < 9.3e18), d.try_cast("bigint")))
 
 
 def overflows(text: Column) -> Column:
@@ -74,18 +75,18 @@ def as_text(value: Column) -> Column:
     return F.when(F.is_variant_null(value), F.lit(None).cast("string")).when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
-def _number_text(value: Column) -> Column:
+def number_text(value: Column) -> Column:
     """Text to read a number from: booleans are 1 and 0."""
     text = F.try_variant_get(value, "$", "string")
     return F.when(F.schema_of_variant(value) == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).otherwise(text)
 
 
 def as_int(value: Column, default: int = -1, wrapped: bool = True) -> Column:
-    return F.coalesce(text_to_long(_number_text(unwrap(value) if wrapped else value)), F.lit(default).cast("bigint"))
+    return F.coalesce(text_to_long(number_text(unwrap(value) if wrapped else value)), F.lit(default).cast("bigint"))
 
 
 def as_float(value: Column, default: float = 0.0, wrapped: bool = True) -> Column:
-    return F.coalesce(text_to_double(_number_text(unwrap(value) if wrapped else value)), F.lit(default))
+    return F.coalesce(text_to_double(number_text(unwrap(value) if wrapped else value)), F.lit(default))
 
 
 def as_str(value: Column, default: str = "") -> Column:
@@ -93,14 +94,14 @@ def as_str(value: Column, default: str = "") -> Column:
 
 
 def as_epoch(value: Column, default: float = 0.0) -> Column:
-    return epoch(_number_text(unwrap(value)), default)
+    return epoch(number_text(unwrap(value)), default)
 
 
-def as_str_or(value: Column, default: str) -> Column:
-    """As ``as_str``, but what Python takes for false (empty text, zero) gives the default too."""
-    text = as_text(unwrap(value))
-    zero = F.coalesce(F.try_variant_get(unwrap(value), "$", "double") == 0, F.lit(False)) & ~F.schema_of_variant(unwrap(value)).isin("STRING")
-    return F.when(text.isNull() | (text == "") | (text == "False") | zero, F.lit(default)).otherwise(text)
+def truthy_text(value: Column) -> Column:
+    """As ``as_text`` of an unwrapped value, but null for what Python takes for false: empty text, zero, false."""
+    text = as_text(value)
+    zero = (F.schema_of_variant(value) != "STRING") & F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    return F.when((text != "") & (text != "False") & ~F.coalesce(zero, F.lit(False)), text)
 
 
 # The same on JSON text, where the order of keys in the source matters.

@@ -129,22 +129,33 @@ def layout(protocol: str) -> list[tuple[str, str, list[str]]]:
     """(name, kind, path) of the columns after ``timestamp``."""
     if protocol not in LAYOUTS:
         raise ValueError(f"unknown protocol {protocol!r}; known: {', '.join(LAYOUTS)}")
-    lines = LAYOUTS[protocol].replace("-\n", "-\n").split("\n")
+    lines = LAYOUTS[protocol].split("\n")
     return [(name, kind, where.split("/")) for name, kind, where in (line.split(" ", 2) for line in lines if line)]
 
 
+def _object_of(df: DataFrame, name: str, parent: str, key: str) -> DataFrame:
+    return df.withColumn(name, child(F.col(parent), key)).withColumn(name, unwrap(F.col(name)))
+
+
 def parsed(raw: DataFrame, text: str = "raw") -> DataFrame:
     """``raw`` with ``layers__`` (a variant; null where the text is no object with layers)."""
-    whole = F.try_parse_json(F.col(text))
-    return raw.withColumn("layers__", unwrap(child(unwrap(child(whole, "_source")), "layers")))
+    whole = raw.withColumn("layers__", F.try_parse_json(F.col(text)))
+    return _object_of(_object_of(whole, "layers__", "layers__", "_source"), "layers__", "layers__", "layers")
 
 
-def _at(root: Column, path: list[str]) -> Column:
-    """The value at ``path``, each object on the way unwrapped, the last left as it is."""
-    value = root
-    for i, key in enumerate(path):
-        value = child(unwrap(value) if i else value, key)
-    return value
+def leaves(rows: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """``rows`` with a variant column ``<name>__`` for each wanted path below ``layers__``, not unwrapped.
+
+    Levels are taken one after another, each object unwrapped once: expressions nested over several levels would repeat
+    the lower ones for every use.
+    """
+    objects = sorted({tuple(path[:n]) for path in wanted.values() for n in range(1, len(path))}, key=lambda p: (len(p), p))
+    at = {(): "layers__", **{p: f"object_{i}__" for i, p in enumerate(objects)}}
+    for depth in range(1, max((len(p) for p in objects), default=0) + 1):
+        own = [p for p in objects if len(p) == depth]
+        rows = rows.withColumns({at[p]: child(F.col(at[p[:-1]]), p[-1]) for p in own})
+        rows = rows.withColumns({at[p]: unwrap(F.col(at[p])) for p in own})
+    return rows.withColumns({f"{name}__": child(F.col(at[tuple(path[:-1])]), path[-1]) for name, path in wanted.items()}).drop(*at.values())
 
 
 def _raw_at(text: Column, path: list[str]) -> Column:
@@ -154,16 +165,7 @@ def _raw_at(text: Column, path: list[str]) -> Column:
     return value
 
 
-def present(layers: Column, name: str) -> Column:
-    """Whether there is such a layer, be it null."""
-    return child(layers, name).isNotNull()
-
-
-def deltas(layers: Column) -> tuple[Column, Column]:
-    return _at(layers, ["frame", "frame.time_delta"]), _at(layers, ["tcp", "Timestamps", "tcp.time_delta"])
-
-
-def first_register(text: Column, layers: Column) -> Column:
+def first_register(text: Column) -> Column:
     """The register value in the first child object of the Modbus layer that has one, in the source's order."""
     children = F.map_values(F.from_json(_raw_at(text, ["modbus"]), "map<string,string>"))
     having = F.filter(children, lambda c: c.startswith("{") & F.array_contains(F.json_object_keys(c), "modbus.regval_uint16"))
@@ -171,91 +173,102 @@ def first_register(text: Column, layers: Column) -> Column:
     return F.coalesce(coerce.text_to_long(coerce.json_unwrap(value)), F.lit(-1).cast("bigint"))
 
 
-def column(kind: str, path: list[str], text: Column, layers: Column) -> Column:
-    at = _at(layers, path)
-    if kind == "int":
-        return coerce.as_int(at)
-    if kind == "float":
-        return coerce.as_float(at, -1.0)
-    if kind == "str":
-        return coerce.as_str(at)
-    if kind == "has":
-        return F.when(present(layers, path[0]), 1).otherwise(0)
-    if kind == "bytes":
-        return packets.payload_bytes(coerce.as_str(at))
-    if kind == "delta":
-        return packets.delta_source(*deltas(layers))
-    if kind == "regval":
-        return first_register(text, layers)
-    return F.coalesce(_raw_at(text, path), F.lit(""))
+#: Kinds of value: how the unwrapped variant becomes text, and the text a value.
+TEXTS = {"int": coerce.number_text, "zero": coerce.number_text, "float": coerce.number_text, "epoch": coerce.number_text, "str": coerce.as_text, "bytes": coerce.as_text, "text": coerce.as_text, "or_empty": coerce.truthy_text, "or_any": coerce.truthy_text}
+VALUES = {
+    "int": lambda t: F.coalesce(coerce.text_to_long(t), F.lit(-1).cast("bigint")),
+    "zero": lambda t: F.coalesce(coerce.text_to_long(t), F.lit(0).cast("bigint")),
+    "float": lambda t: F.coalesce(coerce.text_to_double(t), F.lit(-1.0)),
+    "epoch": lambda t: coerce.epoch(t),
+    "str": lambda t: F.coalesce(t, F.lit("")),
+    "bytes": lambda t: packets.payload_bytes(t),
+    "text": lambda t: t,
+    "or_empty": lambda t: F.coalesce(t, F.lit("")),
+    "or_any": lambda t: F.coalesce(t, F.lit("0.0.0.0")),
+}
+DELTAS = {"frame_delta": ["frame", "frame.time_delta"], "tcp_delta": ["tcp", "Timestamps", "tcp.time_delta"]}
+
+
+def values(rows: DataFrame, fields: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """``rows`` (from :func:`parsed`) with a column for each field (name, kind, path), and ``delta_source``."""
+    before = [c for c in rows.columns]
+    wide = leaves(rows, {name: path for name, _, path in fields} | DELTAS)
+    wide = wide.withColumn("delta_source", packets.delta_source(F.col("frame_delta__"), F.col("tcp_delta__")))
+    for step in (lambda kind, c: unwrap(c), lambda kind, c: TEXTS[kind](c), lambda kind, c: VALUES[kind](c)):
+        wide = wide.withColumns({f"{name}__": step(kind, F.col(f"{name}__")) for name, kind, _ in fields})
+    return wide.select(*(c for c in before if c != "layers__"), "delta_source", *(F.col(f"{name}__").alias(name) for name, _, _ in fields))
 
 
 def extracted(raw: DataFrame, protocol: str, text: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
     """Flat rows of ``protocol`` from packets in column ``text``; ``keep``: columns to carry along. No shuffle."""
-    rows = parsed(raw.where(F.col(text).isNotNull()), text)
-    layers = F.col("layers__")
-    columns = [coerce.as_epoch(_at(layers, ["frame", "frame.time_epoch"])).alias("timestamp")]
-    columns += [column(kind, path, F.col(text), layers).alias(name) for name, kind, path in layout(protocol)]
-    return rows.select(*keep, *columns)
+    columns = layout(protocol)
+    rows = parsed(raw.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("text__")), "text__")
+    rows = rows.withColumn("has_vlan", F.when(child(F.col("layers__"), "vlan").isNotNull(), 1).otherwise(0))
+    found = values(rows, [("timestamp", "epoch", ["frame", "frame.time_epoch"]), *(c for c in columns if c[1] in VALUES)])
+    raws = {name: F.coalesce(_raw_at(F.col("text__"), path), F.lit("")) for name, kind, path in columns if kind == "json"}
+    registers = {name: first_register(F.col("text__")) for name, kind, _ in columns if kind == "regval"}
+    return found.select(*keep, "timestamp", *((raws | registers).get(name, F.col(name)).alias(name) for name, _, _ in columns))
 
 
-def unconvertible(raw: DataFrame, protocol: str, text: str = "raw") -> Column:
-    """Whether an integer column of the packet is an infinity, for which there is no row; used by the plan's error count."""
-    layers = unwrap(child(unwrap(child(F.try_parse_json(F.col(text)), "_source")), "layers"))
+def with_overflows(raw: DataFrame, protocol: str, text: str = "raw") -> DataFrame:
+    """``raw`` with ``overflow__``: whether an integer column of the packet is an infinity, for which there is no row."""
+    whole = {name: path for name, kind, path in layout(protocol) if kind == "int"}
+    rows = leaves(parsed(raw, text), whole)
+    rows = rows.withColumns({f"{name}__": unwrap(F.col(f"{name}__")) for name in whole})
     found = F.lit(False)
-    for _, kind, path in layout(protocol):
-        if kind == "int":
-            found = found | coerce.overflows(F.try_variant_get(unwrap(_at(layers, path)), "$", "string"))
-    return found
+    for name in whole:
+        found = found | coerce.overflows(F.try_variant_get(F.col(f"{name}__"), "$", "string"))
+    return rows.select(*raw.columns, found.alias("overflow__"))
+
+
+COMMON = [
+    ("ts", "epoch", ["frame", "frame.time_epoch"]),
+    ("pkt_len", "zero", ["frame", "frame.len"]),
+    ("src_ip", "or_any", ["ip", "ip.src"]),
+    ("dst_ip", "or_any", ["ip", "ip.dst"]),
+    ("src_port", "or_empty", ["tcp", "tcp.srcport"]),
+    ("dst_port_text", "or_empty", ["tcp", "tcp.dstport"]),
+]
 
 
 def modbus_packets(raw: DataFrame, text: str = "raw") -> DataFrame:
     """Inputs of the window features from packets that have both Modbus layers. Carries ``seq``."""
-    rows = parsed(raw, text)
-    layers = F.col("layers__")
-    src, dst = (coerce.as_str_or(_at(layers, ["tcp", f"tcp.{p}port"]), "") for p in ("src", "dst"))
-    request, response = packets.direction(src, dst, packets.MODBUS_PORT)
-    return rows.where(present(layers, "mbtcp") & present(layers, "modbus")).select(
-        "seq",
-        coerce.as_epoch(_at(layers, ["frame", "frame.time_epoch"])).alias("ts"),
-        coerce.as_int(_at(layers, ["frame", "frame.len"]), 0).alias("pkt_len"),
-        coerce.as_str_or(_at(layers, ["ip", "ip.src"]), "0.0.0.0").alias("src_ip"),
-        coerce.as_str_or(_at(layers, ["ip", "ip.dst"]), "0.0.0.0").alias("dst_ip"),
-        coerce.as_int(_at(layers, ["mbtcp", "mbtcp.unit_id"])).alias("unit_id"),
-        coerce.as_int(_at(layers, ["modbus", "modbus.func_code"])).alias("fc"),
-        request.alias("is_request"),
-        response.alias("is_response"),
-        F.when(coerce.as_int(_at(layers, ["modbus", "modbus.exception"]), 0) > 0, 1).otherwise(0).alias("is_exception"),
-        packets.delta_source(*deltas(layers)).alias("delta_source"),
-    )
+    rows = parsed(raw.select("seq", F.col(text).alias("text__")), "text__")
+    rows = rows.where(child(F.col("layers__"), "mbtcp").isNotNull() & child(F.col("layers__"), "modbus").isNotNull())
+    found = values(rows, [*COMMON, ("unit_id", "int", ["mbtcp", "mbtcp.unit_id"]), ("fc", "int", ["modbus", "modbus.func_code"]), ("exception", "zero", ["modbus", "modbus.exception"])])
+    request, response = packets.direction(F.col("src_port"), F.col("dst_port_text"), packets.MODBUS_PORT)
+    flags = [request.alias("is_request"), response.alias("is_response"), F.when(F.col("exception") > 0, 1).otherwise(0).alias("is_exception")]
+    return found.select("seq", "ts", "pkt_len", "src_ip", "dst_ip", "unit_id", "fc", *flags, "delta_source")
 
 
 def mqtt_packets(raw: DataFrame, text: str = "raw") -> DataFrame:
     """Inputs of the window features from packets that have the MQTT layer. Carries ``seq``."""
-    rows = parsed(raw, text)
-    layers = F.col("layers__")
-    src, dst = (coerce.as_str_or(_at(layers, ["tcp", f"tcp.{p}port"]), "") for p in ("src", "dst"))
-    request, response = packets.direction(src, dst, packets.MQTT_PORT)
-    flag = lambda name, default: coerce.as_int(_at(layers, ["mqtt", "mqtt.hdrflags_tree", f"mqtt.{name}"]), default)
-    topic = coerce.as_text(unwrap(_at(layers, ["mqtt", "mqtt.topic"])))
-    return rows.where(present(layers, "mqtt")).select(
-        "seq",
-        coerce.as_epoch(_at(layers, ["frame", "frame.time_epoch"])).alias("ts"),
-        coerce.as_int(_at(layers, ["frame", "frame.len"]), 0).alias("pkt_len"),
-        coerce.as_str_or(_at(layers, ["ip", "ip.src"]), "0.0.0.0").alias("src_ip"),
-        coerce.as_str_or(_at(layers, ["ip", "ip.dst"]), "0.0.0.0").alias("dst_ip"),
-        coerce.as_int(_at(layers, ["tcp", "tcp.dstport"])).alias("dst_port"),
-        flag("msgtype", -1).alias("fc"),
+    rows = parsed(raw.select("seq", F.col(text).alias("text__")), "text__")
+    rows = rows.where(child(F.col("layers__"), "mqtt").isNotNull())
+    tree = ["mqtt", "mqtt.hdrflags_tree"]
+    own = [
+        ("dst_port", "int", ["tcp", "tcp.dstport"]),
+        ("fc", "int", [*tree, "mqtt.msgtype"]),
+        ("mqtt_qos", "int", [*tree, "mqtt.qos"]),
+        ("dup", "zero", [*tree, "mqtt.dupflag"]),
+        ("retain", "zero", [*tree, "mqtt.retain"]),
+        ("topic", "text", ["mqtt", "mqtt.topic"]),
+        ("payload", "or_empty", ["mqtt", "mqtt.msg"]),
+    ]
+    found = values(rows, [*COMMON, *own])
+    request, response = packets.direction(F.col("src_port"), F.col("dst_port_text"), packets.MQTT_PORT)
+    return found.select(
+        *("seq", "ts", "pkt_len", "src_ip", "dst_ip", "dst_port", "fc"),
         request.alias("is_request"),
         response.alias("is_response"),
         F.lit(0).alias("is_exception"),
-        packets.delta_source(*deltas(layers)).alias("delta_source"),
-        flag("qos", -1).alias("mqtt_qos"),
-        F.when(flag("dupflag", 0) > 0, 1).otherwise(0).alias("mqtt_dup"),
-        F.when(flag("retain", 0) > 0, 1).otherwise(0).alias("mqtt_retain"),
-        packets.topic_length(topic).alias("mqtt_topic_len"),
-        packets.topic_bucket(topic).alias("mqtt_topic_bucket"),
-        packets.payload_bytes(coerce.as_str_or(_at(layers, ["mqtt", "mqtt.msg"]), "")).cast("bigint").alias("mqtt_payload_len"),
+        "delta_source",
+        "mqtt_qos",
+        F.when(F.col("dup") > 0, 1).otherwise(0).alias("mqtt_dup"),
+        F.when(F.col("retain") > 0, 1).otherwise(0).alias("mqtt_retain"),
+        packets.topic_length(F.col("topic")).alias("mqtt_topic_len"),
+        packets.topic_bucket(F.col("topic")).alias("mqtt_topic_bucket"),
+        packets.payload_bytes(F.col("payload")).cast("bigint").alias("mqtt_payload_len"),
     )
 
 

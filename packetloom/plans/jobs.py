@@ -15,8 +15,8 @@ ERROR_SAMPLES = 10
 
 def extract(spark: SparkSession, source: str, protocol: str, target: str | None, mode: str = "auto", one_file: bool = False) -> dict:
     """Packet JSON to the protocol's flat CSV (``target`` None: nowhere). One narrow pass; counts come from it as well."""
-    raw = packet_json.read_packets(spark, source, mode)
-    bad = F.col("error").isNotNull() | F.coalesce(protocols.unconvertible(raw, protocol), F.lit(False))
+    raw = protocols.with_overflows(packet_json.read_packets(spark, source, mode), protocol)
+    bad = F.col("error").isNotNull() | F.coalesce("overflow__", F.lit(False))
     seen = Observation()
     marked = raw.withColumn("bad__", bad).observe(seen, F.count("*").alias("total"), F.count(F.when(F.col("bad__"), 1)).alias("bad"))
     rows = protocols.extracted(marked.where(~F.col("bad__")), protocol)
