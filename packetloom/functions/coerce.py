@@ -111,6 +111,3 @@ def json_unwrap(text: Column) -> Column:
     return F.when(text.startswith("["), F.get_json_object(text, "$[0]")).otherwise(text)
 
 
-def json_child(text: Column, key: str) -> Column:
-    """The JSON below ``key``; a list is unwrapped. Of repeated keys this takes the first."""
-    return json_unwrap(F.get_json_object(json_unwrap(text), path(key)))

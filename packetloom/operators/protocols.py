@@ -158,19 +158,28 @@ def leaves(rows: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
     return rows.withColumns({f"{name}__": child(F.col(at[tuple(path[:-1])]), path[-1]) for name, path in wanted.items()}).drop(*at.values())
 
 
-def _raw_at(text: Column, path: list[str]) -> Column:
-    value = text
-    for key in ("_source", "layers", *path):
-        value = coerce.json_child(value, key)
-    return value
-
-
-def first_register(text: Column) -> Column:
-    """The register value in the first child object of the Modbus layer that has one, in the source's order."""
-    children = F.map_values(F.from_json(_raw_at(text, ["modbus"]), "map<string,string>"))
+def raw_leaves(rows: DataFrame, text: str, wanted: dict[str, list[str]]) -> DataFrame:
+    """As :func:`leaves`, but the JSON text in the source's order of keys, as columns ``<name>__`` that are unwrapped."""
+    full = {name: ("_source", "layers", *path) for name, path in wanted.items()}
+    nodes = sorted({p[:n] for p in full.values() for n in range(1, len(p) + 1)}, key=lambda p: (len(p), p))
+    at = {(): text, **{p: f"json_{i}__" for i, p in enumerate(nodes)}}
+    for depth in range(1, max((len(p) for p in nodes), default=0) + 1):
+        own = [p for p in nodes if len(p) == depth]
+        rows = rows.withColumns({at[p]: F.get_json_object(F.col(at[p[:-1]]), coerce.path(p[-1])) for p in own})
+        rows = rows.withColumns({at[p]: coerce.json_unwrap(F.col(at[p])) for p in own})
+    rows = rows.withColumns({f"{name}__": F.col(at[p]) for name, p in full.items()})
+    return rows.drop(*(c for p, c in at.items() if p))
+
+
+def first_register(rows: DataFrame, layer: str, out: str) -> DataFrame:
+    """``out``: the register value in the first child object of the Modbus layer (JSON text) that has one, in the source's
+    order."""
+    children = F.map_values(F.from_json(F.col(layer), "map<string,string>"))
     having = F.filter(children, lambda c: c.startswith("{") & F.array_contains(F.json_object_keys(c), "modbus.regval_uint16"))
-    value = F.get_json_object(F.get(having, F.lit(0)), coerce.path("modbus.regval_uint16"))
-    return F.coalesce(coerce.text_to_long(coerce.json_unwrap(value)), F.lit(-1).cast("bigint"))
+    rows = rows.withColumn(out, F.get(having, F.lit(0)))
+    rows = rows.withColumn(out, F.get_json_object(F.col(out), coerce.path("modbus.regval_uint16")))
+    rows = rows.withColumn(out, coerce.json_unwrap(F.col(out)))
+    return rows.withColumn(out, F.coalesce(coerce.text_to_long(F.col(out)), F.lit(-1).cast("bigint")))
 
 
 #: Kinds of value: how the unwrapped variant becomes text, and the text a value.
@@ -205,9 +214,12 @@ def extracted(raw: DataFrame, protocol: str, text: str = "raw", keep: tuple[str,
     rows = parsed(raw.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("text__")), "text__")
     rows = rows.withColumn("has_vlan", F.when(child(F.col("layers__"), "vlan").isNotNull(), 1).otherwise(0))
     found = values(rows, [("timestamp", "epoch", ["frame", "frame.time_epoch"]), *(c for c in columns if c[1] in VALUES)])
-    raws = {name: F.coalesce(_raw_at(F.col("text__"), path), F.lit("")) for name, kind, path in columns if kind == "json"}
-    registers = {name: first_register(F.col("text__")) for name, kind, _ in columns if kind == "regval"}
-    return found.select(*keep, "timestamp", *((raws | registers).get(name, F.col(name)).alias(name) for name, _, _ in columns))
+    raws = {name: path for name, kind, path in columns if kind == "json"}
+    found = raw_leaves(found, "text__", raws | {name: path[:1] for name, kind, path in columns if kind == "regval"})
+    found = found.withColumns({name: F.coalesce(f"{name}__", F.lit("")) for name in raws})
+    for name in (name for name, kind, _ in columns if kind == "regval"):
+        found = first_register(found, f"{name}__", name)
+    return found.select(*keep, "timestamp", *(name for name, _, _ in columns))
 
 
 def with_overflows(raw: DataFrame, protocol: str, text: str = "raw") -> DataFrame:
