@@ -425,14 +425,14 @@ def flow_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OTHER_SELECT = f"""SELECT 'v1' AS schema_version, t0, window_sec, 'flow' AS key_type, '__other__' AS src_ip, '__other__' AS dst_ip, CAST(-1 AS BIGINT) AS unit_id, pkt_cnt, byte_cnt, {r6('pkt_cnt / CAST(window_sec AS DOUBLE)', 'pkt_rate')}, {r6('byte_cnt / CAST(window_sec AS DOUBLE)', 'byte_rate')}, req_cnt, resp_cnt,
-  {r6('CAST(req_cnt AS DOUBLE) / greatest(resp_cnt, 1)', 'req_resp_ratio')}, exc_cnt, {r6('CAST(exc_cnt AS DOUBLE) / greatest(pkt_cnt, 1)', 'exc_ratio')}, CAST(NULL AS BIGINT) AS fc_unique_cnt, CAST(NULL AS DOUBLE) AS fc_entropy, inter_cnt_pos,
-  CAST(NULL AS DOUBLE) AS inter_mean, CAST(NULL AS DOUBLE) AS inter_std, CAST(NULL AS DOUBLE) AS inter_p50, CAST(NULL AS DOUBLE) AS inter_p95, CAST(NULL AS DOUBLE) AS burstiness, neg_delta_cnt, delta_src_frame_cnt, delta_src_tcp_cnt, delta_src_none_cnt FROM ({OTHERS_SQL})"""
+  {r6('CAST(req_cnt AS DOUBLE) / greatest(resp_cnt, 1)', 'req_resp_ratio')}, exc_cnt, {r6('CAST(exc_cnt AS DOUBLE) / greatest(pkt_cnt, 1)', 'exc_ratio')}, inter_cnt_pos, neg_delta_cnt, delta_src_frame_cnt, delta_src_tcp_cnt, delta_src_none_cnt FROM ({OTHERS_SQL})"""
 
 
 @query(f"WITH {KEPT_SQL} {OTHER_SELECT}")
 def other_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = _flows(spark, sf_dir)
-    return rounded(retention.other_rows(flows, _kept(flows)[1], TOP, KEYS))
+    """Without the columns that are unknown, hence null, for this bucket."""
+    return rounded(retention.other_rows(flows, _kept(flows)[1], TOP, KEYS).drop(*retention.UNKNOWN))
 
 
 @query(f"WITH {KEPT_SQL} SELECT CAST(0 AS INTEGER) AS part, t0, src_ip, pkt_cnt FROM flows SEMI JOIN kept USING (src_ip, dst_ip, unit_id) UNION ALL SELECT 1, t0, '__other__', pkt_cnt FROM ({OTHERS_SQL})")
