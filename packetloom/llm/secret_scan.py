@@ -17,6 +17,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import written
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -110,12 +112,13 @@ def update_ledger(versions: DataFrame, ledger: str, rule_version: str = RULE_VER
     unseen = named.groupBy("blob").agg(F.min("path").alias("path")).join(known, "blob", "left_anti")
     chosen = named.alias("n").join(unseen.hint("shuffle_hash").alias("u"), F.expr("n.blob = u.blob AND n.path <=> u.path"), "left_semi")
     found = chosen.select("blob", F.lit(rule_version).alias("rule_version"), all_spans(F.col("text")).alias("spans"))
-    found.write.mode("append").parquet(ledger)
+    # rows that repeat path and text give the same entry
+    found.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
 
 
 def findings(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
     """(path, blob, spans) for each row of ``versions``, from the ledger; copies share an entry."""
-    entries = read_ledger(versions.sparkSession, ledger).where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("spans").alias("spans"))
+    entries = read_ledger(versions.sparkSession, ledger).where(F.col("rule_version") == rule_version).select("blob", "spans")
     return versions.select("path", blob(F.col("text")).alias("blob")).join(entries, "blob", "left")
 
 
@@ -140,12 +143,12 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 def redact(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced, after bringing the ledger up to date; all columns are kept.
 
-    Only entries with findings are joined, by content; texts move only if those are too many to be sent to all
-    executors, which Spark decides by their size.
+    Only entries with findings are joined, by content. They are written first, so their size is known when the join is
+    planned: texts move only if they are over Spark's threshold for sending them to all executors.
     """
     update_ledger(docs.select(F.col(path).alias("path"), F.col(text).alias("text")), ledger, rule_version)
     entries = read_ledger(docs.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
-    entries = entries.groupBy("blob").agg(F.first("spans").alias("spans__")).withColumnRenamed("blob", "blob__")
+    entries = written(entries.select(F.col("blob").alias("blob__"), F.col("spans").alias("spans__")), "findings")
     joined = docs.join(entries, blob(F.col(text)) == F.col("blob__"), "left")
     clean = F.when(F.col("spans__").isNotNull(), redacted(F.col(text), F.col("spans__"))).otherwise(F.col(text))
     return joined.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns))
