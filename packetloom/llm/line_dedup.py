@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import free_name
+from packetloom.llm.common import free_name, written
 
 RATIO, LEAST_PAGES = 0.01, 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -38,11 +38,12 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, lea
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``docs`` with the lines dropped, and ``n_lines`` and ``n_dropped`` added (renamed if taken).
 
-    The lists of lines are joined by host; texts move only if those lists are too large to be sent to all executors,
-    which Spark decides by their size, and then a hot host is split by the skew join.
+    The lists of lines are written first, so that their size is known when the join by host is planned: below Spark's
+    threshold they are sent to all executors and texts stay where they are; above it texts are shuffled, and a hot host
+    is split by the skew join.
     """
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
-    drop = boilerplate(docs, host, text, ratio, least_pages).select(F.col("host").alias("host__"), F.col("lines").alias("drop__"))
+    drop = written(boilerplate(docs, host, text, ratio, least_pages).select(F.col("host").alias("host__"), F.col("lines").alias("drop__")), "boilerplate")
     joined = docs.join(drop, F.col(host).eqNullSafe(F.col("host__")), "left")
     lines = F.split(F.col(text), "\n", -1)
     hit = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.col("drop__"))

@@ -215,12 +215,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) with one document of each component left: its smallest doc_id.
 
-    Of rows that repeat an id one stays. Rows without an id can't be named by a decision, and stay. Texts move only
-    if the ids that go are too many to be sent to all executors, which Spark decides by their size.
+    Of rows that repeat an id one stays. Rows without an id can't be named by a decision, and stay. The ids that go are
+    written first, so their size is known when the join is planned: texts move only if they are over Spark's threshold
+    for sending them to all executors.
     """
     found = written(near_duplicates(docs, words, radius).select("doc_id", "component_id"), "near-duplicates")
     found = found.where(F.col("doc_id").isNotNull())
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped-ids")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return kept
