@@ -65,3 +65,17 @@ def range_bucket(value: Column, bounds: list) -> Column:
         return F.when(value >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
     return tree(0, len(bounds))
+
+
+#: Rows of whole texts that one Arrow batch may have.
+BATCH_ROWS = 512
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends texts to Python in batches of few rows. Batches lie outside the heap, on both
+    sides, and texts are long, so Spark's ten thousand rows would take tens of megabytes a task, and more for long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df

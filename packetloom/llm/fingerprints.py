@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import partitions, range_bounds, range_bucket
+from packetloom.llm.common import bounded_batches, partitions, range_bounds, range_bucket
 from packetloom.llm.wordhash import BASE, WHITE_SPACE, RangeHash, blocks, mixed, spans
 
 PAIR_WEIGHT, WORD_WEIGHT, SHORT_WORD = 2, 1, 6
@@ -72,7 +72,7 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
 
         return pd.Series(simhash([x if isinstance(x, str) else None for x in column]).view(np.int64))
 
-    return df.withColumn(out, of(F.col(text)))
+    return bounded_batches(df).withColumn(out, of(F.col(text)))
 
 
 def block_tables(value: str, radius: int, blocks_: int, bits: int = 64) -> list[tuple[int, str]]:
@@ -173,7 +173,7 @@ def fingerprints_with_next(docs: DataFrame, buckets: int | None = None) -> DataF
     range before it as well, where the last document needs it. Ranges come from cut points over all ids.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = range_bounds(docs, "doc_id", buckets or partitions(spark))
     placed = docs.withColumn("bucket", range_bucket(F.col("doc_id"), bounds))
     # ids only: the first of each range, and how often it occurs

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import written
+from packetloom.llm.common import bounded_batches, written
 
 BITS, TERMS_AT_ONCE = 64, 1 << 16
 
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             prints = np.array(simhash((t.as_py() for t in batch.column("text")), words), dtype=np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "value"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, value long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, value long")
 
 
 def bit_correlations(values: DataFrame) -> np.ndarray:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import bounded_batches
 from packetloom.llm.words import encoded, narrow, widened
 
 SEQUENCE_BITS = 32
@@ -136,5 +137,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
         names = [c.split()[0] for c in PIECES.split(", ")]
         return pa.table(dict(zip(names, (pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)), strict=True)))
 
-    rests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, "doc_id long, group long, doc_tokens long, full array<long>, rest binary")
+    rests = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, "doc_id long, group long, doc_tokens long, full array<long>, rest binary")
     return rests.groupBy("group").applyInArrow(packed, PIECES)

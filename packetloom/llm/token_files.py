@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import partitions, range_bounds, range_bucket
+from packetloom.llm.common import bounded_batches, partitions, range_bounds, range_bucket
 from packetloom.llm.words import encoded, narrow, widened
 
 #: Writer settings: a row index entry every thousand rows, stripes of 64 MB, Bloom filters on doc_id.
@@ -34,7 +34,7 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = 2, bucke
     as a stream.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = range_bounds(docs, "doc_id", buckets or partitions(spark))
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import bounded_batches
 from packetloom.llm.wordhash import WORD_BYTE, RangeHash, blocks, spans
 
 #: The sample: labelled rows of each class at most, and the longest text that is learnt from.
@@ -200,7 +201,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 scores, located = model.score(part.column("text").to_pylist())
                 yield pa.record_batch([part.column("doc_id"), pa.array(scores), pa.array([",".join(f"{a}:{b}" for a, b in x) for x in located], pa.string())], names=["doc_id", "score", "offending"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, score double, offending string")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, score double, offending string")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,4 +213,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
         return pd.Series(model.score([t if isinstance(t, str) else None for t in texts])[0])
 
-    return docs.where(score("text") < threshold)
+    return bounded_batches(docs).where(score("text") < threshold)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Parts kept in one Python worker, and the longest that is kept.
-CACHED_PARTS, CACHED_CHARS = 1_000_000, 48
+CACHED_PARTS, CACHED_CHARS = 400_000, 48
 
 #: Python's split() takes these four for white space, the vocabulary doesn't.
 _separator = re.compile("[\x1c-\x1f]").search
