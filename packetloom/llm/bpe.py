@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import bounded_batches
+
 #: Pieces kept with their ids in one Python worker, pairs with their compatibility, and the longest piece kept.
 CACHED_PIECES, CACHED_PAIRS, CACHED_CHARS = 400_000, 1_000_000, 48
 
@@ -30,7 +32,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class BytePairEncoder:
-    """Ids of text by a table of ranks, in which every single byte must have one."""
+    """Ids of text by a table of ranks, as training gives it: every single byte has one, and longer tokens come after
+    what they are merged from. A token that merging can't reach only stands for a piece that is just this token."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
@@ -43,7 +46,7 @@ class BytePairEncoder:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.parts: dict[int, tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -111,7 +114,8 @@ class BytePairEncoder:
         while pos < n:
             while k >= 0:
                 length, token = at[pos][k]
-                if open_[pos + length] and (not ids or self._compatible(ids[-1], token)):
+                # tokens that no merge makes only stand for a whole piece
+                if open_[pos + length] and (length == 1 or self._split(token)) and (not ids or self._compatible(ids[-1], token)):
                     break
                 k -= 1
             if k >= 0:
@@ -162,7 +166,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         own = encoder(path, pattern)
         return pd.Series([own.encode(x) if isinstance(x, str) else [] for x in column], dtype=object)
 
-    return df.withColumn(out, of(F.col(text)))
+    return bounded_batches(df).withColumn(out, of(F.col(text)))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -182,4 +186,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 by_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from packetloom.llm import bpe, fingerprints, line_dedup, near_duplicates, packing, quality, secret_scan, token_files, toxicity, url_filter
+from packetloom.llm import bpe, fingerprints, line_dedup, near_duplicates, oracles, packing, quality, secret_scan, token_files, toxicity, url_filter
 from packetloom.llm.common import scratch_path, written
 
 
@@ -90,7 +90,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts for all documents."""
-    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
 QUERIES = {
@@ -105,4 +106,9 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filter": oracles.url_filter(URL_RULES, URL_LIST),
+    "op6_secret_scan": oracles.secrets(),
+    "op8_line_dedup": oracles.lines(),
+    "op10_quality": oracles.quality_rules(),
+}
