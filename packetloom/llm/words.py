@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 
 #: Parts kept in one Python worker, and the longest that is kept.
-CACHED_PARTS, CACHED_CHARS = 400_000, 48
+CACHED_PARTS, CACHED_CHARS = 600_000, 48
 
 #: Python's split() takes these four for white space, the vocabulary doesn't.
 _separator = re.compile("[\x1c-\x1f]").search
 _split = re.compile("[ \n\r\t]+").split
 _plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: A word and ASCII symbols after it, but no apostrophe, which can start a suffix that is a word.
+_marked = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
 def check_independent(path: str) -> None:
@@ -37,60 +39,44 @@ def check_independent(path: str) -> None:
         raise ValueError(f"{path}: its words aren't known to be encoded independently")
 
 
-class PartEncoder:
-    """Ids as unsigned 32-bit integers, little-endian."""
+class PartEncoder(dict):
+    """Ids of each part as unsigned 32-bit integers, little-endian; parts that aren't there yet are encoded on the way."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         check_independent(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        #: How the library writes the bytes of each lower-case letter that _plain admits, and the ids of single marks.
+        #: How the library writes the bytes of each lower-case letter that _plain admits.
         self.letters = {ord(c): as_bytes(c)[0][0] for c in map(chr, range(0x61, 0x100)) if _plain(c) and c == c.lower()}
-        self.marks = {c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        """Words of Latin-1 letters, and those with one mark after them, go to the model, whatever their case; all else
-        goes through the whole library."""
-        known, tokenize, letters, marks, rest = self.known, self.model.tokenize, self.letters, self.marks, []
-        for part in parts:
-            if _plain(part):
-                word, mark = part, None
-            elif part[-1] in marks and _plain(part[:-1]):
-                word, mark = part[:-1], part[-1]
-            else:
-                rest.append(part)
-                continue
-            ids = known.get(word)
-            if ids is None:
-                lower = word.lower()
-                ids = known[word] = array("I", [t.id for t in tokenize(lower if lower.isascii() else lower.translate(letters))]).tobytes()
-            if mark:
-                known[part] = ids + marks[mark]
-        for part, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[part] = array("I", found.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each whole text; parts that are new are encoded in one call for all of them."""
-        split = [text.split() if not _separator(text) else [p for p in _split(text) if p] for text in map(_folded, texts)]
-        known = self.known
-        fresh = [p for p in set().union(*split) if p not in known]
-        if len(known) + len(fresh) > CACHED_PARTS:
-            known.clear()
-            fresh = list(set().union(*split))
-        self._learn(fresh)
-        ids = [b"".join([known[p] for p in parts]) for parts in split]
-        for part in fresh:
-            if len(part) > CACHED_CHARS:
-                known.pop(part, None)
-                known.pop(part[:-1], None)
+
+    def __missing__(self, part: str) -> bytes:
+        """Words of Latin-1 letters go to the vocabulary's model, whatever their case. Symbols after such a word are a
+        word of their own. All else goes through the whole library."""
+        if _plain(part):
+            lower = part.lower()
+            ids = array("I", [t.id for t in self.tokenize(lower if lower.isascii() else lower.translate(self.letters))]).tobytes()
+        elif marked := _marked(part):
+            ids = self[marked[1]] + self[marked[2]]
+        else:
+            ids = array("I", self.library.encode(part, add_special_tokens=False).ids).tobytes()
+        if len(part) <= CACHED_CHARS:
+            if len(self) >= CACHED_PARTS:
+                self.clear()
+            self[part] = ids
         return ids
 
+    def encode(self, text: str) -> bytes:
+        """Of a whole text."""
+        text = _folded(text)
+        parts = text.split() if not _separator(text) else [p for p in _split(text) if p]
+        return b"".join(map(self.__getitem__, parts))
+
 
 def _folded(text: str) -> str:
     """Lower-cased where that can't change the ids, so that fewer parts are new: Latin-1 only, and no special token."""
@@ -107,20 +93,20 @@ def part_encoder(path: str) -> PartEncoder:
     return PartEncoder(path)
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, end: bytes, size: int = 1 << 21) -> Iterator[tuple[list, list[bytes]]]:
-    """Lists of doc_id and of ids with the end id, some ``size`` characters of whole texts at a time."""
-    own = part_encoder(path)
-    doc_ids, texts, total = [], [], 0
+def encoded(batches: Iterable[pa.RecordBatch], path: str, end: bytes, size: int = 1 << 22) -> Iterator[tuple[list, list[bytes]]]:
+    """Lists of doc_id and of ids with the end id, some ``size`` bytes of whole texts' ids at a time."""
+    encode = part_encoder(path).encode
+    doc_ids, found, total = [], [], 0
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             doc_ids.append(doc_id)
-            texts.append(text.as_py() or "")
-            total += len(texts[-1])
+            found.append(encode(text.as_py() or "") + end)
+            total += len(found[-1])
             if total > size:
-                yield doc_ids, [ids + end for ids in own.encode(texts)]
-                doc_ids, texts, total = [], [], 0
+                yield doc_ids, found
+                doc_ids, found, total = [], [], 0
     if doc_ids:
-        yield doc_ids, [ids + end for ids in own.encode(texts)]
+        yield doc_ids, found
 
 
 def narrow(ids: bytes) -> bytes:
