@@ -106,27 +106,26 @@ class Model:
         return np.clip(scores, 0.0, 1.0), located
 
 
-def fit(texts: list[str], labels: np.ndarray, share: float | None = None, steps: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Model:
+def fit(texts: list[str], labels: np.ndarray, share: float | None = None, steps: int = 300, rate: float = 0.1, decay: float = 5e-5) -> Model:
     """Noisy-or regression. Features are those that at least LEAST_DOCUMENTS toxic texts have, and toxic texts
     markedly more often than others; ``share``: of toxic texts among all labelled ones, where the sample differs."""
     labels = np.asarray(labels, dtype=float)
     if not len(labels) or labels.min() == labels.max():
         return Model()
-    per_text, per_sentence = [], []
-    base = 0
-    for lo, _, data, starts in blocks(prepared(texts)):
+    raw = prepared(texts)
+    # first pass: how many toxic and other texts have each feature, summed up block by block
+    seen, yes, no = [np.zeros(0, dtype=np.uint64)], [np.zeros(0)], [np.zeros(0)]
+    for lo, _, data, starts in blocks(raw):
         s = sentences(data, starts)
-        text = s.text[s.sentence] + lo
-        order = np.lexsort((s.features, text))
-        f, t = s.features[order], text[order]
-        once = np.concatenate(([True], (f[1:] != f[:-1]) | (t[1:] != t[:-1])))
-        per_text.append((f[once], t[once]))
-        per_sentence.append((s.features, s.sentence + base, s.text + lo))
-        base += len(s.ends)
-    names, inverse = np.unique(np.concatenate([f for f, _ in per_text]), return_inverse=True)
-    toxic = labels[np.concatenate([t for _, t in per_text])]
-    yes = np.bincount(inverse, toxic, len(names))
-    no = np.bincount(inverse, 1 - toxic, len(names))
+        names, code = np.unique(s.features, return_inverse=True)
+        once = np.unique((s.text[s.sentence] + lo) * np.int64(len(names) + 1) + code)
+        toxic, code = labels[once // (len(names) + 1)], once % (len(names) + 1)
+        seen.append(names)
+        yes.append(np.bincount(code, toxic, len(names)))
+        no.append(np.bincount(code, 1 - toxic, len(names)))
+    names, code = np.unique(np.concatenate(seen), return_inverse=True)
+    yes, no = (np.bincount(code, np.concatenate(x), len(names)) for x in (yes, no))
+    del seen, code
     n_yes, n_no = labels.sum(), len(labels) - labels.sum()
     odds = np.log((yes + 0.5) / (n_yes - yes + 0.5)) - np.log((no + 0.5) / (n_no - no + 0.5))
     error = np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
@@ -138,24 +137,26 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, steps:
         model.leak = float(n_yes / len(labels) if share is None else share)
         model.bias = -20.0
         return model
-    rows, which = [], []
-    for f, sentence, _ in per_sentence:
-        hit, at = model.found(f)
-        pairs = np.unique(sentence[hit] * np.int64(len(chosen)) + at)
-        rows.append(pairs // len(chosen))
+    # second pass: which sentence has which of the chosen features
+    rows, which, owner, base = [], [], [], 0
+    for lo, _, data, starts in blocks(raw):
+        s = sentences(data, starts)
+        hit, at = model.found(s.features)
+        pairs = np.unique(s.sentence[hit] * np.int64(len(chosen)) + at)
+        scored, row = np.unique(pairs // len(chosen), return_inverse=True)
+        rows.append(row + base)
         which.append(pairs % len(chosen))
-    all_text = np.concatenate([t for _, _, t in per_sentence])
-    rows, which = np.concatenate(rows), np.concatenate(which)
-    scored, row = np.unique(rows, return_inverse=True)
-    owner = all_text[scored]
-    # sentences without features share the bias alone and are left to the leak
+        owner.append(s.text[scored] + lo)
+        base += len(scored)
+    row, which, owner = np.concatenate(rows), np.concatenate(which), np.concatenate(owner)
+    # sentences without features aren't scored: what they miss is left to the leak
     balance = np.ones(len(labels))
     if share is not None and 0 < share < 1:
         balance = np.where(labels > 0, share / n_yes, (1 - share) / n_no) * len(labels)
     w, b, leak = model.weights.copy(), model.bias, np.log(model.leak)
     m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
     for step in range(1, steps + 1):
-        z = b + np.bincount(row, w[which], len(scored))
+        z = b + np.bincount(row, w[which], len(owner))
         p = 1 / (1 + np.exp(-z))
         base_p = np.exp(min(leak, -0.7))
         log_q = np.log1p(-base_p) + np.bincount(owner, -np.logaddexp(0, z), len(labels))
