@@ -8,6 +8,8 @@ bits and infinities can't be held by a long: ``as_int`` gives the default and ``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +43,8 @@ def text_to_long(text: Column) -> Column:
 
 
 def overflows(text: Column) -> Column:
-    """Whether the text is an infinity, which no integer column can hold."""
-    return F.coalesce(F.abs(text_to_double(text)) == float("inf"), F.lit(False))
+    """Whether the text is an infinity or beyond the range of doubles, which no integer column can hold."""
+    return F.coalesce(F.abs(text.try_cast("double")) == float("inf"), F.lit(False))
 
 
 def epoch(text: Column, default: float = 0.0) -> Column:
@@ -81,20 +83,27 @@ def number_text(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).otherwise(text)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_int(value: Column, default: int = -1, wrapped: bool = True) -> Column:
-    return F.coalesce(text_to_long(number_text(unwrap(value) if wrapped else value)), F.lit(default).cast("bigint"))
+    text = let(let(value, unwrap) if wrapped else value, number_text)
+    return F.coalesce(let(text, text_to_long), F.lit(default).cast("bigint"))
 
 
 def as_float(value: Column, default: float = 0.0, wrapped: bool = True) -> Column:
-    return F.coalesce(text_to_double(number_text(unwrap(value) if wrapped else value)), F.lit(default))
+    text = let(let(value, unwrap) if wrapped else value, number_text)
+    return F.coalesce(let(text, text_to_double), F.lit(default))
 
 
 def as_str(value: Column, default: str = "") -> Column:
-    return F.coalesce(as_text(unwrap(value)), F.lit(default))
+    return F.coalesce(let(let(value, unwrap), as_text), F.lit(default))
 
 
 def as_epoch(value: Column, default: float = 0.0) -> Column:
-    return epoch(number_text(unwrap(value)), default)
+    return let(let(let(value, unwrap), number_text), lambda text: epoch(text, default))
 
 
 def truthy_text(value: Column) -> Column:

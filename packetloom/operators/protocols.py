@@ -227,10 +227,8 @@ def with_overflows(raw: DataFrame, protocol: str, text: str = "raw") -> DataFram
     whole = {name: path for name, kind, path in layout(protocol) if kind == "int"}
     rows = leaves(parsed(raw, text), whole)
     rows = rows.withColumns({f"{name}__": unwrap(F.col(f"{name}__")) for name in whole})
-    found = F.lit(False)
-    for name in whole:
-        found = found | coerce.overflows(F.try_variant_get(F.col(f"{name}__"), "$", "string"))
-    return rows.select(*raw.columns, found.alias("overflow__"))
+    texts = F.array(*(F.try_variant_get(F.col(f"{name}__"), "$", "string") for name in whole))
+    return rows.select(*raw.columns, F.exists(texts, coerce.overflows).alias("overflow__"))
 
 
 COMMON = [

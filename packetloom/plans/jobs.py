@@ -74,7 +74,8 @@ def preprocess(spark: SparkSession, source: str, protocol: str, target: str, mod
     parser, family = PARSERS[protocol]
     raw = packet_json.read_packets(spark, source, mode, empty="json_array")
     counts = raw.agg(F.count("*").alias("read"), F.count("error").alias("decode_errors")).first().asDict()
-    packets = parser(raw.where(F.col("error").isNull()))
+    # parsed once: gaps, windows and counts below are passes over typed columns
+    packets = tables.stored(parser(raw.where(F.col("error").isNull())), "packets")
     bad_time = packets.where(F.isnan("ts") | (F.abs("ts") == float("inf"))).count()
     total = packets.count()
     rows = feature_rows(packets, family, windows, faithful=faithful)

@@ -7,6 +7,7 @@ object. Lines are read in splits by many tasks; an array is read by one task a f
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -30,6 +31,14 @@ def head_of(spark: SparkSession, path: str, size: int = SNIFFED) -> bytes:
         stream.close()
 
 
+def signature(spark: SparkSession, path: str, head: int = 1 << 20) -> dict:
+    """What tells a file from another or from its later self: size, time of change, SHA-1 of its head."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    return {"size": status.getLen(), "mtime_ms": status.getModificationTime(), "head_sha1": hashlib.sha1(head_of(spark, path, head)).hexdigest()}
+
+
 def layout_of(head: bytes, empty: str = "jsonl") -> str:
     """``json_array`` if the first character that isn't white space is ``[``, else ``jsonl``; ``empty`` for blank files."""
     text = head.replace(b"\0", b"").decode("utf-8", "ignore").lstrip(BOM).lstrip()
@@ -110,8 +119,9 @@ def objects_in(chunks: Iterator[bytes], max_buffer: int = 64 << 20) -> Iterator[
             continue
         try:
             _, end = parse(text, at)
-            # a number at the very end may go on in the next chunk
-            if end == len(text) and not ended and text[end - 1] not in '}]"':
+            # a number may go on in the next chunk, unless something ends it
+            whole = text[end - 1] in '}]"' or text[end : end + 1] in tuple(" \r\n\t,]")
+            if not whole and not ended and len(text) - at < 64:
                 more()
                 continue
             yield text[at:end], None

@@ -1,7 +1,7 @@
 """Structured Streaming forms: gaps and sessions with state per flow, and windows under a watermark.
 
 Input streams have the packets' columns and ``event_time``, a timestamp made from ``ts`` (see :func:`timed`). State is one
-small record a flow, in the state store, and is dropped after ``forget`` without packets. Recovery is the query's
+small record a flow, in the state store, kept for good or for a time since the flow's last packet. Recovery is the query's
 checkpoint: no packet is lost or counted twice, open windows included. Windows drop packets later than the watermark, where
 a batch run would count them; on ordered input both give the same rows.
 """
@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from packetloom.functions.stats import RATIO_CAP
 from packetloom.operators.builder import SESSION_IDLE, SESSION_RESET
 
-LATENESS, FORGET = "2 seconds", 24 * 3600 * 1000
+LATENESS = "2 seconds"
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
@@ -53,7 +53,7 @@ def window_counts(packets: DataFrame, keys: list[str], seconds: int, lateness: s
 class FlowState(StatefulProcessor):
     """Adds to each packet of a flow its signed gap and its session's number, in the order of ``seq`` within a batch."""
 
-    def __init__(self, columns: list[str], idle: float, reset: float, forget_ms: int):
+    def __init__(self, columns: list[str], idle: float, reset: float, forget_ms: int | None):
         self.columns, self.idle, self.reset, self.forget_ms = columns, idle, reset, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -74,8 +74,12 @@ class FlowState(StatefulProcessor):
         pass
 
 
-def with_flow_state(packets: DataFrame, keys: list[str], idle: float = SESSION_IDLE, reset: float = SESSION_RESET, forget_ms: int = FORGET) -> DataFrame:
-    """``packets`` with raw_iat and session, as the batch operators give them. Needs the RocksDB state store."""
+def with_flow_state(packets: DataFrame, keys: list[str], idle: float = SESSION_IDLE, reset: float = SESSION_RESET, forget_ms: int | None = None) -> DataFrame:
+    """``packets`` with raw_iat and session, as the batch operators give them. Needs the RocksDB state store.
+
+    ``forget_ms``: drop a flow's state so long after its last packet. Spark then wakes up for expiry without new data, so
+    leave it out where a query runs over what is there and ends.
+    """
     schema = StructType(list(packets.schema.fields)).add("raw_iat", "double").add("session", "long")
     processor = FlowState(schema.names, idle, reset, forget_ms)
-    return packets.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    return packets.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if forget_ms else "None")
