@@ -1,7 +1,7 @@
 """The registered queries: against SQL where there is some, and the pipeline stage by stage."""
 
 import os
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import duckdb
 import pytest
@@ -87,4 +87,4 @@ def test_run_is_the_stages(spark, data):
     fills = defaultdict(int)
     for r in got.collect():
         fills[r.sequence_id] += r.length
-    assert max(fills.values()) <= 2048 and Counter(fills.values())[2048] > 0.9 * len(fills)
+    assert max(fills.values()) <= 2048 and sum(fills.values()) > 0.97 * 2048 * len(fills)
