@@ -80,3 +80,23 @@ def test_streaming_equals_batch(spark, tmp_path):
     over = windows.agg(F.max("t0")).first()[0]
     assert windows.count() == expected.where(F.col("t0") <= over).count()
     assert windows.select(*KEYS, "t0", "pkt_cnt").exceptAll(expected).count() == 0
+
+
+def test_progress():
+    from packetloom.streaming.progress import Progress
+
+    progress = Progress(seconds=60)
+    for now, rows in ((0, 100), (50, 10), (80, 30), (90, 20)):
+        progress.seen(rows, now)
+    said = progress.summary(100)
+    assert (said["rows"], said["batches"]) == (160, 4) and said["rows_per_sec"] == 50 / 50
+
+
+def test_signature(spark, tmp_path):
+    import hashlib
+
+    from packetloom.sources import packet_json
+
+    (tmp_path / "f").write_text("abc")
+    found = packet_json.signature(spark, str(tmp_path / "f"))
+    assert found["size"] == 3 and found["head_sha1"] == hashlib.sha1(b"abc").hexdigest()
