@@ -86,8 +86,7 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", default: str =
 
     if facts.n * BITS_PER_KEY // 8 <= MAX_FILTER_BYTES:
         bloom = BlockedBloom(facts.n)
-        for batch in listed.select(F.xxhash64("key").alias("h")).toLocalIterator() if facts.n else []:
-            bloom.add(np.array([batch.h], dtype=np.int64))
+        bloom.add(listed.select(F.xxhash64("key").alias("h")).toArrow().column("h").to_numpy())  # 8 bytes a key, as many as fit the filter
         shared = spark.sparkContext.broadcast(bloom)
 
         hashes = free_name(out, "hashes_")
