@@ -1,8 +1,7 @@
 """Builder features: 35 metrics of tumbling windows and of sessions, and the quality of the arrival order.
 
 Rows have seq, ts, src_ip, dst_ip, unit (text), is_response, fc, addr, qty, resp_time and raw_iat. Quantiles are exact over
-all values of a group, where sampling would keep 2,000. Each group's values lie in bounded windows or sessions; counts and
-moments are merged from partial aggregates.
+all values of a group, where sampling would keep 2,000; counts and moments are merged from partial aggregates.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import coerce
 from packetloom.functions.packets import window_start
-from packetloom.functions.stats import lower_quantile, or_zero
+from packetloom.functions.stats import or_zero
 from packetloom.operators.arrival import cut_points, flow_gaps, range_of
 
 #: Function codes that read and that write; codes from 128 on are exceptions.
@@ -69,39 +68,63 @@ def _json(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(ordered, ","), F.lit("}"))
 
 
+def _picked(rows: DataFrame, group: list[str], samples: dict[str, tuple[Column, tuple[float, ...]]]) -> DataFrame:
+    """For each sample (value, shares): the value in the row that holds the lower quantile of its group, null elsewhere.
+
+    Values are ranked by sorting, which spills, so a group may be of any size.
+    """
+    for name, (value, shares) in samples.items():
+        rows = rows.withColumn(name, value)
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col(name).asc_nulls_last())) - 1
+        rows = rows.withColumn("place__", place).withColumn("size__", F.count(name).over(Window.partitionBy(*group)))
+        for share in shares:
+            here = F.col(name).isNotNull() & (F.col("place__") == F.floor(F.lit(share) * (F.col("size__") - 1)))
+            rows = rows.withColumn(f"{name}_at_{round(100 * share)}", F.when(here, F.col(name)))
+    return rows.drop("place__", "size__")
+
+
 def metrics(rows: DataFrame, group: list[str], duration: Column, extra: dict[str, Column] | None = None) -> DataFrame:
-    """The 35 metrics for each group; ``extra``: further aggregates over the merged rows, by name.
+    """The 35 metrics for each group; ``extra``: further aggregates, by name.
 
-    Merged in two levels, by (group, fc, bin of the negative gap) and by group: so histograms need no list of values.
+    Quantiles are exact and come from sorted ranks; the rest is merged from partial aggregates. Histograms are counted by
+    (group, code) and by (group, bin) before they become one text, so no list has more entries than there are codes. All of
+    it rests on one exchange by group.
     """
-    gap = F.col("raw_iat")
-    forward, back = gap >= 0, gap < 0
-    first_level = (
-        rows.withColumn("bin__", F.when(back, negative_bin(-gap)))
-        .groupBy(*group, "fc", "bin__")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("seq").alias("first"),
-            F.count(F.when(F.col("is_response") == 1, 1)).alias("resp"),
-            F.count(gap).alias("pairs"),
-            F.count(F.when(forward & (gap < BURST_BELOW), 1)).alias("burst"),
-            F.count(F.when(forward & (gap > IDLE_ABOVE), 1)).alias("idle"),
-            F.min(F.when(F.col("addr") >= 0, F.col("addr"))).alias("addr_min"),
-            F.max(F.when(F.col("addr") >= 0, F.col("addr"))).alias("addr_max"),
-            F.collect_list(F.when(forward, gap)).alias("iats"),
-            F.collect_list(F.when(back, -gap)).alias("negatives"),
-            F.collect_list(F.when(F.col("qty") > 0, F.col("qty").cast("double"))).alias("qtys"),
-            F.collect_list(F.when(F.col("resp_time") > 0, F.col("resp_time"))).alias("resp_times"),
-            *(c.alias(n) for n, c in (extra or {}).items()),
-        )
+    extra, gap = extra or {}, F.col("raw_iat")
+    samples = {
+        "iat": (F.when(gap >= 0, gap), (0.5, 0.95)),
+        "negative": (F.when(gap < 0, -gap), (0.99,)),
+        "resp": (F.when(F.col("resp_time") > 0, F.col("resp_time")), (0.95,)),
+    }
+    ranked = _picked(rows, group, samples)
+    ranked = ranked.withColumn("qty__", F.when(F.col("qty") > 0, F.col("qty").cast("double"))).withColumn("addr__", F.when(F.col("addr") >= 0, F.col("addr")))
+
+    def moments(name: str, of: str) -> list[Column]:
+        return [F.count(of).alias(f"{name}_n"), F.avg(of).alias(f"{name}_mean"), F.stddev_samp(of).alias(f"{name}_std"), F.max(of).alias(f"{name}_max")]
+
+    picked = [F.max(c).alias(c) for c in (f"{name}_at_{round(100 * share)}" for name, (_, shares) in samples.items() for share in shares)]
+    merged = ranked.groupBy(*group).agg(
+        F.count("*").alias("n"),
+        F.count(F.when(F.col("is_response") == 1, 1)).alias("resp"),
+        F.count(gap).alias("pairs"),
+        F.count(F.when(F.col("iat") < BURST_BELOW, 1)).alias("burst"),
+        F.count(F.when(F.col("iat") > IDLE_ABOVE, 1)).alias("idle"),
+        F.min("addr__").alias("addr_min"),
+        F.max("addr__").alias("addr_max"),
+        *moments("iats", "iat"),
+        *moments("negatives", "negative"),
+        *moments("qtys", "qty__"),
+        *moments("resps", "resp"),
+        *picked,
+        *(c.alias(name) for name, c in extra.items()),
     )
-    total = {name: F.sum(name).alias(name) for name in ("n", "resp", "pairs", "burst", "idle")}
-    lists = {name: F.array_sort(F.flatten(F.collect_list(name))).alias(name) for name in ("iats", "negatives", "qtys", "resp_times")}
-    codes = F.collect_list(F.struct("first", F.col("fc").alias("name"), "n")).alias("codes")
-    bins = F.collect_list(F.when(F.col("bin__").isNotNull(), F.struct("first", F.col("bin__").alias("name"), "n"))).alias("bins")
-    merged = first_level.groupBy(*group).agg(*total.values(), *lists.values(), codes, bins, F.min("addr_min").alias("addr_min"), F.max("addr_max").alias("addr_max"), *(F.expr(f"{'min' if n.startswith('min') else 'max'}({n})").alias(n) for n in (extra or {})))
-    # a code or a bin may stand in several entries
-    merged = merged.withColumn("codes", _summed("codes")).withColumn("bins", _summed("bins"))
+
+    def histogram(of: Column, out: str) -> DataFrame:
+        counted = ranked.withColumn("name", of).where(F.col("name").isNotNull()).groupBy(*group, "name").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+        return counted.groupBy(*group).agg(F.collect_list(F.struct("first", "name", "n")).alias(out))
+
+    merged = merged.join(histogram(F.col("fc"), "codes"), group, "left").join(histogram(F.when(gap < 0, negative_bin(-gap)), "bins"), group, "left")
+    merged = merged.withColumn("bins", F.coalesce("bins", F.array().cast("array<struct<first:bigint,name:string,n:bigint>>")))
 
     def among(values: tuple[int, ...]) -> Column:
         return F.aggregate(F.filter("codes", lambda e: e["name"].isin(*values)), F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
@@ -110,22 +133,22 @@ def metrics(rows: DataFrame, group: list[str], duration: Column, extra: dict[str
     exceptions = F.aggregate(F.filter("codes", lambda e: e["name"] >= EXCEPTION_FROM), F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
     n, req, resp = F.col("n"), F.col("n") - F.col("resp"), F.col("resp")
     span = F.when(F.col("addr_min").isNotNull(), F.col("addr_max") - F.col("addr_min")).otherwise(F.lit(-1).cast("bigint"))
-    iats, negatives = F.size("iats"), F.size("negatives")
+    iats, negatives = F.col("iats_n"), F.col("negatives_n")
     out = {
         "packet_count": n,
         "pps": F.when(duration > 0, n / duration).otherwise(0.0),
         "iat_pairs": F.col("pairs"),
-        "iat_count": iats.cast("bigint"),
-        "iat_mean": _mean("iats"),
-        "iat_std": _sample_deviation("iats"),
-        "iat_p50": lower_quantile(F.col("iats"), 0.5),
-        "iat_p95": lower_quantile(F.col("iats"), 0.95),
+        "iat_count": iats,
+        "iat_mean": or_zero(F.col("iats_mean")),
+        "iat_std": or_zero(F.col("iats_std")),
+        "iat_p50": or_zero(F.col("iat_at_50")),
+        "iat_p95": or_zero(F.col("iat_at_95")),
         "burst_ratio": F.when(iats > 0, F.col("burst") / iats).otherwise(0.0),
         "idle_gap_count": F.col("idle"),
-        "negative_delta_count": negatives.cast("bigint"),
+        "negative_delta_count": negatives,
         "out_of_order_rate": F.when(F.col("pairs") > 0, negatives / F.col("pairs")).otherwise(0.0),
-        "max_negative_delta_sec": or_zero(F.get("negatives", negatives - 1)),
-        "p99_negative_delta_sec": lower_quantile(F.col("negatives"), 0.99),
+        "max_negative_delta_sec": or_zero(F.col("negatives_max")),
+        "p99_negative_delta_sec": or_zero(F.col("negative_at_99")),
         "negative_delta_hist_json": _json(F.col("bins")),
         "req_count": req,
         "resp_count": resp,
@@ -140,36 +163,15 @@ def metrics(rows: DataFrame, group: list[str], duration: Column, extra: dict[str
         "addr_min": F.coalesce("addr_min", F.lit(-1).cast("bigint")),
         "addr_max": F.coalesce("addr_max", F.lit(-1).cast("bigint")),
         "addr_span": span,
-        "qty_count": F.size("qtys").cast("bigint"),
-        "qty_mean": _mean("qtys"),
-        "qty_std": _sample_deviation("qtys"),
-        "qty_max": or_zero(F.get("qtys", F.size("qtys") - 1)),
-        "resp_time_count": F.size("resp_times").cast("bigint"),
-        "resp_time_mean": _mean("resp_times"),
-        "resp_time_p95": lower_quantile(F.col("resp_times"), 0.95),
+        "qty_count": F.col("qtys_n"),
+        "qty_mean": or_zero(F.col("qtys_mean")),
+        "qty_std": or_zero(F.col("qtys_std")),
+        "qty_max": or_zero(F.col("qtys_max")),
+        "resp_time_count": F.col("resps_n"),
+        "resp_time_mean": or_zero(F.col("resps_mean")),
+        "resp_time_p95": or_zero(F.col("resp_at_95")),
     }
-    return merged.select(*group, *(extra or {}), *(c.alias(name) for name, c in out.items()))
-
-
-def _summed(entries: str) -> Column:
-    """Entries (first, name, n) with equal names put together."""
-    names = F.array_distinct(F.transform(entries, lambda e: e["name"]))
-
-    def one(name: Column) -> Column:
-        same = F.filter(entries, lambda e: e["name"] == name)
-        return F.struct(F.array_min(F.transform(same, lambda e: e["first"])).alias("first"), name.alias("name"), F.aggregate(same, F.lit(0).cast("bigint"), lambda a, e: a + e["n"]).alias("n"))
-
-    return F.transform(names, one)
-
-
-def _mean(values: str) -> Column:
-    n = F.size(values)
-    return F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
-
-
-def _sample_deviation(values: str) -> Column:
-    n, mean = F.size(values), _mean(values)
-    return F.when(n > 1, F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1))).otherwise(0.0)
+    return merged.select(*group, *extra, *(c.alias(name) for name, c in out.items()))
 
 
 def flow_key() -> Column:
