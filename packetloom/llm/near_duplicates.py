@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     nodes = written(prints.groupBy("value").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     roots = written(components(links(nodes.select("value"), radius)), "components")
     named = nodes.join(roots.withColumnRenamed("node", "value"), "value", "left").withColumn("root", F.coalesce("root", "value"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that a component of very many fingerprints is split by the skew join
+    least = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least-ids")
     classes = named.select("value", "root").join(least, "root").select("value", "component_id")
     return prints.join(written(classes, "classes"), "value").select("doc_id", "value", "component_id")
 
