@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from packetloom.functions.coerce import let
+
 EPS, RATIO_CAP = 1e-9, 1e6
 
 
@@ -17,13 +19,11 @@ def lower_quantile(ordered: Column, p: float) -> Column:
 def entropy(histogram: Column) -> Column:
     """Of an array of counts: -sum(p * ln(p + 1e-9)); 0 if empty."""
     total = F.aggregate(histogram, F.lit(0.0), lambda a, n: a + n)
-    return F.when(F.size(histogram) > 0, F.aggregate(histogram, F.lit(0.0), lambda a, n: a - n / total * F.log(n / total + F.lit(EPS)))).otherwise(0.0)
 
+    def of(total: Column) -> Column:
+        return F.aggregate(histogram, F.lit(0.0), lambda a, n: a - n / total * F.log(n / total + F.lit(EPS)))
 
-def counted(values: Column) -> Column:
-    """The counts of the distinct values of an array, by ascending value."""
-    ordered = F.array_sort(values)
-    return F.transform(F.array_distinct(ordered), lambda v: F.size(F.filter(ordered, lambda x: x == v)).cast("double"))
+    return F.when(F.size(histogram) > 0, let(total, of)).otherwise(0.0)
 
 
 def mean(values: Column) -> Column:
@@ -33,8 +33,12 @@ def mean(values: Column) -> Column:
 
 def deviation(values: Column) -> Column:
     """Population standard deviation of an array; 0 if empty."""
-    n, m = F.size(values), mean(values)
-    return F.when(n > 0, F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n)).otherwise(0.0)
+    n = F.size(values)
+
+    def of(mean_: Column) -> Column:
+        return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean_) * (x - mean_)) / n)
+
+    return F.when(n > 0, let(mean(values), of)).otherwise(0.0)
 
 
 def or_zero(value: Column) -> Column:
