@@ -11,13 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import line_dedup, near_duplicates, packing, secret_scan, toxicity
+from packetloom.llm import line_dedup, packing, secret_scan, similar_texts, toxicity
 from packetloom.llm.common import scratch_path, written
 
-#: Fingerprints that differ in so few of 64 bits are near-duplicates here. Texts that share 0.8 of their five-word shingles
-#: mostly differ in 3 to 8 bits; those that share under half were never seen within 5.
-NEAR_BITS = 5
-
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -38,8 +34,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays, the one with the smallest doc_id."""
-    return near_duplicates.keep_one(docs.select(*COLUMNS), radius=NEAR_BITS)
+    """Of documents that share 0.8 of their five-word shingles, directly or by others, the one with the smallest doc_id stays."""
+    return similar_texts.keep_one(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
