@@ -74,14 +74,15 @@ def simhash(texts: Iterable[str | None], words: int = 3) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, value): the fingerprint of each row as a signed long. No shuffle."""
+    """(doc_id, key, value): hash of the text, and the fingerprint of each row as a signed long. No shuffle."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array(simhash((t.as_py() for t in batch.column("text")), words), dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "value"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(prints)], names=["doc_id", "key", "value"])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, value long")
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(of, "doc_id long, key long, value long")
 
 
 def bit_correlations(values: DataFrame) -> np.ndarray:
@@ -197,35 +198,47 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
+def classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(value, component_id) of the distinct fingerprints in ``prints`` (doc_id, value)."""
+    nodes = written(prints.groupBy("value").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    roots = written(components(links(nodes.select("value"), radius)), "components")
+    named = nodes.join(roots.withColumnRenamed("node", "value"), "value", "left").withColumn("root", F.coalesce("root", "value"))
+    # written, so that a component of very many fingerprints is split by the skew join
+    least = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least-ids")
+    return written(named.select("value", "root").join(least, "root").select("value", "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, value, component_id) for each row of (doc_id, text): the smallest doc_id that can be reached by links.
 
     Null ids don't count as smallest; a component of such rows alone has none. Equal fingerprints are joined before
     the search, so a group of copies is one node however large, and only pairs of different fingerprints are links.
     """
-    prints = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(prints.groupBy("value").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = written(components(links(nodes.select("value"), radius)), "components")
-    named = nodes.join(roots.withColumnRenamed("node", "value"), "value", "left").withColumn("root", F.coalesce("root", "value"))
-    # written, so that a component of very many fingerprints is split by the skew join
-    least = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least-ids")
-    classes = named.select("value", "root").join(least, "root").select("value", "component_id")
-    return prints.join(written(classes, "classes"), "value").select("doc_id", "value", "component_id")
+    prints = written(fingerprints(docs, words).select("doc_id", "value"), "fingerprints")
+    return prints.join(classes(prints, radius), "value").select("doc_id", "value", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) with one document of each component left: its smallest doc_id.
+def one_of_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one left of each root in ``decided`` (doc_id, key, root), its smallest (doc_id, key).
 
-    Of rows that repeat an id one stays. Rows without an id can't be named by a decision, and stay. The ids that go are
-    written first, so their size is known when the join is planned: texts move only if they are over Spark's threshold
-    for sending them to all executors.
+    Decisions name a row by its id and its text's hash, so different texts under one id are decided apart. Of equal rows
+    one stays. Rows without an id can't be named by a decision, and stay. The rows that go are written first, so their
+    size is known when the join is planned: texts move only if they are over Spark's threshold for sending them to all
+    executors.
     """
-    found = written(near_duplicates(docs, words, radius).select("doc_id", "component_id"), "near-duplicates")
-    found = found.where(F.col("doc_id").isNotNull())
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped-ids")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    named = written(decided.where(F.col("doc_id").isNotNull()), "decisions")
+    least = written(named.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("least")), "least-rows")
+    stays = F.struct("doc_id", "key") == F.col("least")
+    gone = written(named.join(least, "root").where(~stays).select("doc_id", F.col("key").alias("key__")).distinct(), "dropped-rows")
+    repeated = written(named.groupBy("doc_id", F.col("key").alias("key__")).count().where("count > 1").drop("count"), "repeated-rows")
+    kept = docs.withColumn("key__", F.xxhash64("text")).join(gone, ["doc_id", "key__"], "left_anti")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        return kept.select(docs.columns)
+    once = kept.join(repeated, ["doc_id", "key__"], "left_semi").dropDuplicates(["doc_id", "key__"])
+    return kept.join(repeated, ["doc_id", "key__"], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) with one document of each component left: its smallest doc_id."""
+    prints = written(fingerprints(docs, words), "fingerprints")
+    return one_of_each(docs, prints.join(classes(prints, radius), "value").select("doc_id", "key", "root"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import bounded_batches, written
-from packetloom.llm.near_duplicates import components, shingle_hashes
+from packetloom.llm.near_duplicates import components, one_of_each, shingle_hashes
 
 WORDS = 5
 #: Texts in the sample, how many of them have a frequent shingle, and how many such shingles are put last at most.
@@ -137,21 +137,7 @@ def similar_roots(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) with one document of each component left, its smallest doc_id.
-
-    Decisions name a row by its id and its text's hash, so of different texts under one id each has its own. Of equal
-    rows one stays. Rows without an id stay.
-    """
+    """The rows of ``docs`` (doc_id, text and any others) with one document of each component left, its smallest doc_id."""
     rows = written(looked_up(docs), "looked-up-sets")
     roots = written(similar_roots(rows, docs), "components")
-    named = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "key", "node").join(roots, "node", "left")
-    named = written(named.select("doc_id", "key", F.coalesce("root", "node").alias("root")), "decisions")
-    least = written(named.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("least")), "least-ids")
-    stays = F.struct("doc_id", "key") == F.col("least")
-    gone = written(named.join(least, "root").where(~stays).select("doc_id", F.col("key").alias("key__")).distinct(), "dropped-ids")
-    repeated = written(named.groupBy("doc_id", F.col("key").alias("key__")).count().where("count > 1").drop("count"), "repeated-ids")
-    kept = docs.withColumn("key__", F.xxhash64("text")).join(gone, ["doc_id", "key__"], "left_anti")
-    if repeated.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(repeated, ["doc_id", "key__"], "left_semi").dropDuplicates(["doc_id", "key__"])
-    return kept.join(repeated, ["doc_id", "key__"], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    return one_of_each(docs, rows.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root")))

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from llm.helpers import awkward, prose
-from packetloom.llm import similar_texts
+from packetloom.llm import near_duplicates, similar_texts
 from packetloom.llm.near_duplicates import simhash
 
 
@@ -111,3 +111,12 @@ def test_no_texts(spark):
     for r in similar_texts.keep_one(docs).collect():
         groups[plain_set(r.text)].append(r.doc_id)
     assert groups[frozenset()] == [30]
+
+
+@pytest.mark.parametrize("keep", [near_duplicates.keep_one, similar_texts.keep_one])
+def test_repeated_ids_of_different_texts(spark, keep):
+    rnd = random.Random(8)
+    a, b, c = (prose(rnd, 80) for _ in range(3))
+    rows = [(7, a), (3, a), (7, b), (9, c), (9, b + " end"), (9, c)]
+    kept = keep(spark.createDataFrame(rows, "doc_id long, text string"), **({"radius": 8} if keep is near_duplicates.keep_one else {}))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, a), (7, b), (9, c)])
