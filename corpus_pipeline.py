@@ -56,7 +56,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained scores and components have no SQL; tests hold the stages against brute-force versions.
+#: Trained scores and components have no SQL; tests hold near_duplicates against all pairs, and the other stages to counts
+#: and invariants.
 ORACLE_SQL = None
 
 

@@ -120,3 +120,12 @@ def test_repeated_ids_of_different_texts(spark, keep):
     rows = [(7, a), (3, a), (7, b), (9, c), (9, b + " end"), (9, c)]
     kept = keep(spark.createDataFrame(rows, "doc_id long, text string"), **({"radius": 8} if keep is near_duplicates.keep_one else {}))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, a), (7, b), (9, c)])
+
+
+def test_fixture_against_all_pairs(spark, data):
+    """The stage over the test table, every pair compared; none that shares 0.8 is left."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect())
+    assert got == plain_kept([(r.doc_id, r.text) for r in docs.collect()]) and len(got) < docs.count()
+    left = [plain_set(t) for _, t in got]
+    assert sum(alike(a, b) for i, a in enumerate(left) for b in left[:i]) == 0
