@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.operators import arrival, window_features
 from packetloom.operators.builder import numbered
 from packetloom.plans.queries import EVENT_ROWS_SQL, GAPS_SQL, HOURS, MODBUS_SQL, ORACLES, ORDERS_SQL, QUERIES, SESSION_GAP, event_packets, modbus_events, query, r6, rounded, sql_features, table
+from packetloom.session import scratch_path
 from packetloom.sources import packet_json, tables
 from packetloom.streaming import features as streaming
 
@@ -24,7 +25,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.when(n % 50 == 7, "{oops").otherwise(F.lit('{"n"')), F.when(n % 3 == 0, F.lit("\0")).otherwise(""), F.lit(": "), n.cast("string"), F.lit("}"), F.when(n % 2 == 0, ",").otherwise(" "))
     noise = F.when(n % 10 == 0, F.array(F.lit(" "), line)).when(n % 10 == 1, F.array(line, F.lit("]"))).otherwise(F.array(line))
     lines = table(spark, sf_dir, "events").select(n.alias("e"), F.posexplode(noise).alias("k", "value")).withColumn("place", F.struct("e", "k"))
-    path = tables.scratch(spark, "lines")
+    path = scratch_path(spark, "lines")
     _one_text_file(lines, path)
     found = packet_json.read_lines(spark, path)
     number = F.regexp_extract("raw", r": (\d+)", 1).cast("bigint")
@@ -39,7 +40,7 @@ def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.lit('{"n": '), n.cast("string"), F.lit(', "s": "é[]{},", "t": {"kind": '), F.to_json(F.array("event_type")), F.lit("}},"))
     rows = table(spark, sf_dir, "events").select(F.struct(F.lit(1), n).alias("place"), item.alias("value"))
     ends = spark.createDataFrame([(0, 0, "junk ["), (2, 0, '{"n": ')], "a int, b bigint, value string").select(F.struct("a", "b").alias("place"), "value")
-    path = tables.scratch(spark, "array")
+    path = scratch_path(spark, "array")
     _one_text_file(rows.unionByName(ends.select(F.struct(F.col("place.a").alias("col1"), F.col("place.b").alias("event_id")).alias("place"), "value")), path)
     found = packet_json.read_array(spark, f"{path}/part-*")
     return found.select("seq", F.coalesce(F.get_json_object("raw", "$.n").cast("bigint"), F.lit(-1)).alias("n"), F.coalesce(F.get_json_object("raw", "$.t.kind[0]"), F.lit("torn")).alias("kind"))
@@ -48,7 +49,7 @@ def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY event_id) AS seq, CAST(event_id AS VARCHAR) AS n, event_type || ', \"x\"' AS text FROM events")
 def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").repartition(1).sortWithinPartitions("event_id").select(F.col("event_id").alias("n"), F.concat("event_type", F.lit(', "x"')).alias("text"))
-    path = tables.scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     tables.write_csv(rows, path, one_file=True)
     return tables.read_csv(spark, path).select(F.col("seq").cast("bigint").alias("seq"), "n", "text")
 
@@ -61,7 +62,7 @@ def feature_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows as documents by window and kind, and read back with their types."""
     rows = arrival.clipped(arrival.flow_gaps(modbus_events(spark, sf_dir), list(window_features.MODBUS.key)))
     found = window_features.routed(window_features.features(window_features.in_windows(rows, HOURS)))
-    path = tables.scratch(spark, "features")
+    path = scratch_path(spark, "features")
     tables.write_lines(window_features.rendered(found), path, ("window_sec", "kind"))
     parts = [tables.read_features_if_any(spark, f"{path}/window_sec={w}/kind={kind}") for w in HOURS for kind in ("key", "sparse")]
     whole = parts[0]
@@ -72,7 +73,7 @@ def feature_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, packets: DataFrame) -> DataFrame:
     """``packets`` as a stream of some files, in order."""
-    path = tables.scratch(spark, "stream-in")
+    path = scratch_path(spark, "stream-in")
     rows = packets.count()
     packets.repartition(1).sortWithinPartitions("seq").write.option("maxRecordsPerFile", max(1, -(-rows // 4))).parquet(path)
     for key, value in streaming.STATE_STORE.items():
@@ -82,8 +83,8 @@ def _stream(spark: SparkSession, packets: DataFrame) -> DataFrame:
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All that the stream gives for what is there now."""
-    out = tables.scratch(spark, "stream-out")
-    sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", tables.scratch(spark, "stream-checkpoint"))
+    out = scratch_path(spark, "stream-out")
+    sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
     sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

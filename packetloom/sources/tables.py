@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,24 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.operators.window_features import MODBUS, MQTT, MQTT_TYPES, Family
+from packetloom.session import scratch_path
 from packetloom.sources.packet_json import numbered
 
 CRLF = "\r\n"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share, removed when the driver ends: below ``spark.checkpoint.dir``, or a temporary
-    one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="packets-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` written once and read back: for what several passes need and is dear to make."""
-    path = scratch(rows.sparkSession, name)
+    path = scratch_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

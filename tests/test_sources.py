@@ -77,3 +77,17 @@ def test_documents(spark, tmp_path):
     assert tables.read_document(spark, path) == {"a": "ü"}
     (tmp_path / "bad.json").write_text("{")
     assert tables.read_document(spark, str(tmp_path / "bad.json")) is None
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from packetloom.session import shared_dir
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session("spark://somewhere:7077"))
+    assert shared_dir(session("spark://somewhere:7077", "hdfs://all/")) == "hdfs://all"
+    assert shared_dir(session("local[2]")) == shared_dir(session("local[2]"))
