@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share. Where it is unset, a temporary one if all tasks run
     in the driver; on a cluster each executor would write to a disk of its own, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (folder or _own_folder()).rstrip("/")
 

@@ -88,6 +88,6 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=SimpleNamespace(master=master))
 
     with pytest.raises(ValueError, match="checkpoint"):
-        shared_dir(session("spark://somewhere:7077"))
+        shared_dir(session("local-cluster[2,1,512]"))
     assert shared_dir(session("spark://somewhere:7077", "hdfs://all/")) == "hdfs://all"
     assert shared_dir(session("local[2]")) == shared_dir(session("local[2]"))
