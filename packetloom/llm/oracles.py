@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from packetloom.llm import line_dedup, quality, secret_scan
+from packetloom.llm import line_dedup, quality
 
 
 def quoted(text: str) -> str:
@@ -23,19 +23,30 @@ def url_filter(rules: Iterable[tuple[str, str]], listed: Iterable[tuple[str, str
       SELECT page_id, host, path, CASE WHEN best[4] THEN best[1] || best[2] END AS rule, coalesce(best[3], 'allow') AS verdict FROM p LEFT JOIN m USING (n)"""
 
 
+#: Kinds of secret, their patterns as the SQL engine reads them, and which group must have how many characters.
+SECRETS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[ \t\r\n]|\\r|\\n)*(?:[A-Z][A-Za-z-]*: [^\n\\]*|[A-Za-z0-9+/=]{16,}))*(?:(?:[ \t\r\n]|\\r|\\n)*[A-Za-z0-9+/=]*(?:[ \t\r\n]|\\r|\\n)*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 0),
+    ("github", "gh[oprsu]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+)
+
+
 def secrets() -> str:
     parts = []
-    for rank, kind in enumerate(secret_scan.KINDS):
-        pattern = quoted(kind.pattern.replace(r"\"", '"'))
-        parts.append(f"SELECT n, '{kind.name}' AS kind, {rank} AS rank, {kind.least} AS least, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}, 0) AS found, regexp_extract_all(t, {pattern}, {kind.value}) AS value FROM d")
-    base = ", ".join(quoted(k) for k in secret_scan.BASE)
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secret_scan.BASE)
+    for rank, (kind, pattern, group, least) in enumerate(SECRETS):
+        parts.append(f"SELECT n, '{kind}' AS kind, {rank} AS rank, {least} AS least, string_split_regex(t, {quoted(pattern)}) AS gaps, regexp_extract_all(t, {quoted(pattern)}, 0) AS found, regexp_extract_all(t, {quoted(pattern)}, {group}) AS value FROM d")
+    base = ", ".join(quoted(k) for k in ("assign", "access", "hex"))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
     return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS t FROM documents), k AS ({' UNION ALL '.join(parts)}),
       s AS (SELECT n, kind, rank, least, gaps, found, value, unnest(range(1, len(found) + 1)) AS i FROM k),
       p AS (SELECT n, kind, rank, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start, length(found[i]) AS width FROM s WHERE length(value[i]) >= least),
       a AS (SELECT n, {counts}, string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + width AS BIGINT), ',' ORDER BY start, rank) AS spans,
         string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + width AS BIGINT), ',' ORDER BY start, rank) FILTER (WHERE kind IN ({base})) AS base FROM p GROUP BY n)
-      SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (n)"""
+      SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in ("assign", "access", "hex"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (n)"""
 
 
 def lines() -> str:

@@ -61,9 +61,9 @@ def _is_kind(kind: str):
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in all documents, scanned into a new ledger and joined back."""
+    """Secrets in all documents, scanned into the session's ledger, else a new one, and joined back."""
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    found = secret_scan.scan(versions, scratch_path(spark, "ledger"))
+    found = secret_scan.scan(versions, secret_scan.ledger_path(spark))
     base = secret_scan.base_spans(F.col("spans"))
     counts = [F.size(F.filter("spans", _is_kind(kind))).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))

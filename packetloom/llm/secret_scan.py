@@ -6,7 +6,10 @@ each), appends what it finds, and joins the entries back to all paths with that
 
 Kinds are matched leftmost and without overlap, each on its own; positions are code points, the end exclusive. Null
 texts count as empty and have an entry without spans. Repeated rows each get their row; an empty table gives an
-empty result; other columns are ignored by ``scan`` and carried along by ``redact``.
+empty result; other columns are ignored by ``scan`` and carried along by ``redact``, whatever their names.
+
+A ledger is a folder that outlives runs. Runs that overlap may both append an entry for a blob; entries for the same blob
+and rule version are equal, and one of them is read.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import written
+from packetloom.llm.common import free_name, scratch_path, written
 
 
 @dataclass(frozen=True)
@@ -32,19 +35,27 @@ class Kind:
     least: int = 0
 
 
+#: What stands between the lines of a key; line ends may be escaped.
+_GAP = r"(?:[ \t\r\n]|\\[rn])*+"
+#: A whole private key: its header, lines of attributes or of at least 16 base-64 characters, and its end line with what is
+#: left before it. Without an end line the key ends with the last such line. Possessive, so that no text makes it deep.
+PRIVATE_KEY = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_GAP}(?:[A-Z][A-Za-z-]*+: [^\n\\]*+|[A-Za-z0-9+/=]{{16,}}+))*+(?:{_GAP}[A-Za-z0-9+/=]*+{_GAP}-----END [A-Z ]*PRIVATE KEY-----)?"
+
 #: The base kinds in their order, then those that the method adds. Runs of hex digits and of upper-case
 #: letters are matched whole, so their least length is part of the pattern.
 KINDS = (
     Kind("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", value=2, least=8),
     Kind("access", r"AKIA[A-Z0-9]{12,}", ("AKIA",)),
     Kind("hex", r"[0-9a-f]{32,}"),
-    Kind("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    Kind("private_key", PRIVATE_KEY, ("PRIVATE KEY-----",)),
     Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xox",)),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
 )
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
+#: The session setting that names the ledger's folder.
+LEDGER_SETTING = "spark.packetloom.secrets.ledger"
 LEDGER = "blob string, rule_version string, spans array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -87,6 +98,11 @@ def base_spans(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*BASE))
 
 
+def ledger_path(spark: SparkSession) -> str:
+    """The durable ledger that the session names; where it names none, a new one that goes with the driver."""
+    return spark.conf.get(LEDGER_SETTING, None) or scratch_path(spark, "ledger")
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(LEDGER).parquet(path)
@@ -110,16 +126,20 @@ def update_ledger(versions: DataFrame, ledger: str, rule_version: str = RULE_VER
     known = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).select("blob").distinct()
     named = versions.select("path", F.coalesce("text", F.lit("")).alias("text"), blob(F.col("text")).alias("blob"))
     unseen = named.groupBy("blob").agg(F.min("path").alias("path")).join(known, "blob", "left_anti")
-    chosen = named.alias("n").join(unseen.hint("shuffle_hash").alias("u"), F.expr("n.blob = u.blob AND n.path <=> u.path"), "left_semi")
+    chosen = named.alias("n").join(unseen.alias("u"), F.expr("n.blob = u.blob AND n.path <=> u.path"), "left_semi")
     found = chosen.select("blob", F.lit(rule_version).alias("rule_version"), all_spans(F.col("text")).alias("spans"))
     # rows that repeat path and text give the same entry
     found.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
 
 
+def known_entries(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """(blob, spans), one for each blob, even if runs that overlapped have appended it twice."""
+    return read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).select("blob", "spans").dropDuplicates(["blob"])
+
+
 def findings(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
     """(path, blob, spans) for each row of ``versions``, from the ledger; copies share an entry."""
-    entries = read_ledger(versions.sparkSession, ledger).where(F.col("rule_version") == rule_version).select("blob", "spans")
-    return versions.select("path", blob(F.col("text")).alias("blob")).join(entries, "blob", "left")
+    return versions.select("path", blob(F.col("text")).alias("blob")).join(known_entries(versions.sparkSession, ledger, rule_version), "blob", "left")
 
 
 def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -147,8 +167,9 @@ def redact(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text
     planned: texts move only if they are over Spark's threshold for sending them to all executors.
     """
     update_ledger(docs.select(F.col(path).alias("path"), F.col(text).alias("text")), ledger, rule_version)
-    entries = read_ledger(docs.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
-    entries = written(entries.select(F.col("blob").alias("blob__"), F.col("spans").alias("spans__")), "findings")
-    joined = docs.join(entries, blob(F.col(text)) == F.col("blob__"), "left")
-    clean = F.when(F.col("spans__").isNotNull(), redacted(F.col(text), F.col("spans__"))).otherwise(F.col(text))
+    blob_, spans_ = free_name(docs, "blob"), free_name(docs, "spans")
+    entries = known_entries(docs.sparkSession, ledger, rule_version).where(F.size("spans") > 0)
+    entries = written(entries.select(F.col("blob").alias(blob_), F.col("spans").alias(spans_)), "findings")
+    joined = docs.join(entries, blob(F.col(text)) == F.col(blob_), "left")
+    clean = F.when(F.col(spans_).isNotNull(), redacted(F.col(text), F.col(spans_))).otherwise(F.col(text))
     return joined.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns))

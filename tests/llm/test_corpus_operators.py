@@ -82,21 +82,61 @@ SECRETS = [
 ]
 
 
-def plain_spans(text):
+PEM = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "\n".join(["MIIEow" + "Ab+/9" * 11] * 30) + "\nQQ==\n-----END RSA PRIVATE KEY-----"
+KEYS = [f"before {PEM} after", PEM.replace("\n", "\\n") + " x", PEM[: PEM.index("QQ")] + "then prose goes on, with short words", "-----BEGIN PRIVATE KEY----- and nothing else", f"{PEM}{PEM}", "-----BEGIN EC PRIVATE KEY-----\n" + "A" * 40_000 + "\n" * 20_000 + "-----END EC PRIVATE KEY-----"]
+MARKED = ["before [secret] after", "[secret] x", "[secret]\nthen prose goes on, with short words", "[secret] and nothing else", "[secret][secret]", "[secret]"]
+
+
+def plain_key_end(text, at):
+    """Where the private key that starts at ``at`` ends, line by line."""
+    def skip(i):
+        while text[i : i + 1] in (" ", "\t", "\r", "\n") and i < len(text) or text[i : i + 2] in ("\\n", "\\r"):
+            i += 2 if text[i] == "\\" else 1
+        return i
+
+    end = at
+    while True:
+        i = skip(end)
+        run = re.compile("[A-Za-z0-9+/=]*").match(text, i).end()
+        attribute = re.compile(r"[A-Z][A-Za-z-]*: [^\n\\]*").match(text, i)
+        if attribute:
+            end = attribute.end()
+        elif run - i >= 16:
+            end = run
+        else:
+            close = re.compile("-----END [A-Z ]*PRIVATE KEY-----").match(text, skip(run))
+            return close.end() if close else end
+
+
+def plain_added(text):
+    """Spans of the kinds beside the base ones."""
+    found, at = [], 0
+    while m := re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----").search(text, at):
+        at = plain_key_end(text, m.end())
+        found.append((m.start(), 3, f"private_key:{m.start()}:{at}"))
+    word = "[A-Za-z0-9_-]"
+    for rank, (kind, pattern) in enumerate([("github", "gh[pousr]_[A-Za-z0-9]{36,}"), ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"), ("jwt", rf"eyJ{word}{{8,}}\.{word}{{8,}}\.{word}{{8,}}")], 4):
+        found += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text)]
+    return found
+
+
+def plain_spans(text, added=False):
     kinds = [("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
     found = []
     for rank, (kind, pattern) in enumerate(kinds):
         for m in re.finditer(pattern, text, re.ASCII):
             if not (kind == "assign" and len(m[2]) < 8 or kind == "access" and len(m[0]) < 16 or kind == "hex" and len(m[0]) < 32):
                 found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
-    return [s for _, _, s in sorted(found)]
+    return [s for _, _, s in sorted(found + (plain_added(text) if added else []))]
 
 
 def test_secrets(spark, docs):
-    frame = docs.select(F.col("doc_id").alias("path"), "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(SECRETS * 2)], "path long, text string"))
+    frame = docs.select(F.col("doc_id").alias("path"), "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate((SECRETS + KEYS) * 2)], "path long, text string"))
     ledger = scratch_path(spark, "ledger")
     rows = secret_scan.scan(frame, ledger).select("path", secret_scan.as_text(secret_scan.base_spans(F.col("spans"))).alias("base"), secret_scan.as_text(F.col("spans")).alias("all")).collect()
-    assert Counter((r.path, r.base) for r in rows) == Counter((i, ",".join(plain_spans(t or ""))) for i, t in ((r.path, r.text) for r in frame.collect()))
+    whole = [(r.path, r.text or "") for r in frame.collect()]
+    assert Counter((r.path, r.base) for r in rows) == Counter((i, ",".join(plain_spans(t))) for i, t in whole)
+    assert Counter((r.path, r["all"]) for r in rows) == Counter((i, ",".join(plain_spans(t, True))) for i, t in whole)
     kinds = {s.split(":")[0] for r in rows for s in r["all"].split(",") if s}
     assert kinds == {k.name for k in secret_scan.KINDS}
     assert secret_scan.scan(frame.limit(0), ledger).count() == 0
@@ -115,6 +155,45 @@ def test_only_unseen_blobs_are_scanned(spark):
     assert secret_scan.read_ledger(spark, ledger).count() == 6
 
 
+def test_overlapping_runs_and_later_versions(spark):
+    """Two runs append the same entries; each path has one row all the same, and a later version scans what is new."""
+    ledger = scratch_path(spark, "ledger")
+    one = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "path long, text string")
+    secret_scan.update_ledger(one, ledger)
+    again = spark.createDataFrame(secret_scan.read_ledger(spark, ledger).collect(), secret_scan.LEDGER)
+    again.write.mode("append").parquet(ledger)
+    assert secret_scan.read_ledger(spark, ledger).count() == 2 * len(SECRETS)
+    assert secret_scan.findings(one, ledger).count() == len(SECRETS)
+    later = one.withColumn("text", F.when(F.col("path") == 0, "changed, token=abcdefgh1").otherwise(F.col("text")))
+    got = {r.path: secret_scan_text(r.spans) for r in secret_scan.scan(later, ledger).collect()}
+    assert secret_scan.read_ledger(spark, ledger).count() == 2 * len(SECRETS) + 1
+    assert got == {r.path: ",".join(plain_spans(r.text, True)) for r in later.collect()}
+
+
+def secret_scan_text(spans):
+    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
+
+
+def test_ledger_of_the_session(spark, tmp_path):
+    from packetloom.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, SECRETS[0]), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set(secret_scan.LEDGER_SETTING, str(tmp_path / "ledger"))
+    try:
+        for _ in range(2):
+            assert QUERIES["op6_secret_scan"](spark, str(tmp_path)).count() == 2
+            assert secret_scan.read_ledger(spark, str(tmp_path / "ledger")).count() == 2
+    finally:
+        spark.conf.unset(secret_scan.LEDGER_SETTING)
+
+
+def test_whole_keys_go(spark):
+    frame = spark.createDataFrame([(i, t, "b", "s", "x") for i, t in enumerate(KEYS)], "doc_id long, text string, blob string, spans string, path string")
+    got = secret_scan.redact(frame, scratch_path(spark, "ledger"))
+    assert got.columns == frame.columns and [r.text for r in got.orderBy("doc_id").collect()] == MARKED
+    assert {(r.blob, r.spans, r.path) for r in got.collect()} == {("b", "s", "x")}
+
+
 def test_redaction(spark, docs):
     extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
     frame = docs.unionByName(extra, allowMissingColumns=True)
