@@ -1,33 +1,15 @@
-"""Helpers shared by the training-data operators: the shared folder, range buckets, guarded column names."""
+"""Helpers shared by the training-data operators: tables in the shared folder, range buckets, guarded column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; the cluster's file system removes it when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+from packetloom.session import scratch_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back. The folder goes when the driver ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
@@ -65,17 +47,3 @@ def range_bucket(value: Column, bounds: list) -> Column:
         return F.when(value >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
     return tree(0, len(bounds))
-
-
-#: Rows of whole texts that one Arrow batch may have.
-BATCH_ROWS = 512
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on its session sends texts to Python in batches of few rows. Batches lie outside the heap, on both
-    sides, and texts are long, so Spark's ten thousand rows would take tens of megabytes a task, and more for long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df

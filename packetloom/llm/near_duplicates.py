@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import bounded_batches, written
+from packetloom.llm.common import free_name, written
 
 BITS, TERMS_AT_ONCE = 64, 1 << 16
 
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             prints = np.array(simhash((t.as_py() for t in batch.column("text")), words), dtype=np.uint64).view(np.int64)
             yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(prints)], names=["doc_id", "key", "value"])
 
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     return rows.mapInArrow(of, "doc_id long, key long, value long")
 
 
@@ -134,8 +134,8 @@ def allocate(costs: list[list[float]], units: int) -> tuple[float, list[int]]:
     return best[units]
 
 
-def plan(values: DataFrame, radius: int) -> list[tuple[int, int]]:
-    """(mask, threshold) of the partitions to probe, for the distinct fingerprints ``values``.
+def plan(values: DataFrame, radius: int, within: str | None = None) -> list[tuple[int, int]]:
+    """(mask, threshold) of the partitions to probe, for the fingerprints ``values``; ``within``: a column that must agree.
 
     For 2 to radius + 1 partitions, pairs that agree in a partition are counted over all fingerprints; within t bits,
     as many times more are estimated as there are values within t bits. Probes that are sent out count as well.
@@ -144,7 +144,8 @@ def plan(values: DataFrame, radius: int) -> list[tuple[int, int]]:
     options = [grouped_bits(correlation, parts) for parts in range(min(2, radius + 1), radius + 2)]
     masks = sorted({m for option in options for m in option})
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("value").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)))).alias("at")
-    met = values.select(keys).groupBy("at").count().groupBy("at.part").agg(F.sum(F.expr("cast(count as double) * (count - 1) / 2")).alias("pairs"), F.sum("count").alias("n"))
+    scope = [within] if within else []
+    met = values.select(*scope, keys).groupBy(*scope, "at").count().groupBy("at.part").agg(F.sum(F.expr("cast(count as double) * (count - 1) / 2")).alias("pairs"), F.sum("count").alias("n"))
     seen = {masks[r.part]: r for r in met.collect()}
 
     def cost(mask: int) -> list[float]:
@@ -226,16 +227,17 @@ def one_of_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
     size is known when the join is planned: texts move only if they are over Spark's threshold for sending them to all
     executors.
     """
+    key = free_name(docs, "key__")
     named = written(decided.where(F.col("doc_id").isNotNull()), "decisions")
     least = written(named.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("least")), "least-rows")
     stays = F.struct("doc_id", "key") == F.col("least")
-    gone = written(named.join(least, "root").where(~stays).select("doc_id", F.col("key").alias("key__")).distinct(), "dropped-rows")
-    repeated = written(named.groupBy("doc_id", F.col("key").alias("key__")).count().where("count > 1").drop("count"), "repeated-rows")
-    kept = docs.withColumn("key__", F.xxhash64("text")).join(gone, ["doc_id", "key__"], "left_anti")
+    gone = written(named.join(least, "root").where(~stays).select("doc_id", F.col("key").alias(key)).distinct(), "dropped-rows")
+    repeated = written(named.groupBy("doc_id", F.col("key").alias(key)).count().where("count > 1").drop("count"), "repeated-rows")
+    kept = docs.withColumn(key, F.xxhash64("text")).join(gone, ["doc_id", key], "left_anti")
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(repeated, ["doc_id", "key__"], "left_semi").dropDuplicates(["doc_id", "key__"])
-    return kept.join(repeated, ["doc_id", "key__"], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    once = kept.join(repeated, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(repeated, ["doc_id", key], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
