@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import line_dedup, packing, secret_scan, similar_texts, toxicity
-from packetloom.llm.common import scratch_path, written
+from packetloom.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,13 +34,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 of their five-word shingles, directly or by others, the one with the smallest doc_id stays."""
+    """Of documents that share 0.8 of their five-word shingles and have fingerprints within 6 bits, directly or by others, the
+    one with the smallest doc_id stays."""
     return similar_texts.keep_one(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; documents stay."""
-    return _documents(secret_scan.redact(docs.select(*COLUMNS), scratch_path(spark, "ledger")))
+    """Secrets are replaced by a mark; documents stay. The ledger is the one that the session names, else a new one."""
+    return _documents(secret_scan.redact(docs.select(*COLUMNS), secret_scan.ledger_path(spark)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
