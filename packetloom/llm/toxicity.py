@@ -1,9 +1,10 @@
 """Operator 7, toxicity: multiple-instance learning. Sentences are scored, a noisy-or joins them to a document's score.
 
 A sentence ends at ``.``, ``!``, ``?`` or a line feed. Its features are its lower-cased words and their first 3 to 6
-bytes. Of a sentence s, p_s = sigmoid(b + sum of the weights of its features); of a document,
-1 - (1 - leak) * prod(1 - p_s). Weights are fitted to document labels only, through the noisy-or, on a bounded sample
-of labelled rows; all documents are scored. The sentences that explain a score are located in the text.
+bytes. Of a sentence s that has chosen features, p_s = sigmoid(b + sum of their weights); of a document,
+1 - (1 - leak) * prod(1 - p_s) over such sentences; what the others may add is left to the leak. Weights are fitted to
+document labels only, through the noisy-or, on a bounded sample of labelled rows; all documents are scored. The sentences
+that explain a score are located in the text.
 
 Null, empty and blank texts score the leak, a small constant. Without usable labels no feature has weight. Repeated
 labels of a document count once, toxic if any is; null labels are ignored. Other columns are ignored.
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import written
 from packetloom.llm.wordhash import WORD_BYTE, RangeHash, blocks, spans
 
 #: The sample: labelled rows of each class at most, and the longest text that is learnt from.
@@ -105,69 +107,138 @@ class Model:
         return np.clip(scores, 0.0, 1.0), located
 
 
-def fit(texts: list[str], labels: np.ndarray, share: float | None = None, steps: int = 300, rate: float = 0.1, decay: float = 5e-5) -> Model:
-    """Noisy-or regression. Features are those that at least LEAST_DOCUMENTS toxic texts have, and toxic texts
-    markedly more often than others; ``share``: of toxic texts among all labelled ones, where the sample differs."""
-    labels = np.asarray(labels, dtype=float)
-    if not len(labels) or labels.min() == labels.max():
-        return Model()
-    raw = prepared(texts)
-    # first pass: how many toxic and other texts have each feature, summed up block by block
+#: Weight decays to choose from, and into how many folds the training rows are dealt for it.
+DECAYS, FOLDS = (5e-6, 5e-5, 5e-4, 5e-3), 3
+
+
+def feature_counts(raw: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different features of some texts, and how many toxic and other texts have each."""
     seen, yes, no = [np.zeros(0, dtype=np.uint64)], [np.zeros(0)], [np.zeros(0)]
     for lo, _, data, starts in blocks(raw):
         s = sentences(data, starts)
         names, code = np.unique(s.features, return_inverse=True)
         once = np.unique((s.text[s.sentence] + lo) * np.int64(len(names) + 1) + code)
-        toxic, code = labels[once // (len(names) + 1)], once % (len(names) + 1)
+        label, code = toxic[once // (len(names) + 1)], once % (len(names) + 1)
         seen.append(names)
-        yes.append(np.bincount(code, toxic, len(names)))
-        no.append(np.bincount(code, 1 - toxic, len(names)))
+        yes.append(np.bincount(code, label, len(names)))
+        no.append(np.bincount(code, 1 - label, len(names)))
     names, code = np.unique(np.concatenate(seen), return_inverse=True)
-    yes, no = (np.bincount(code, np.concatenate(x), len(names)) for x in (yes, no))
-    del seen, code
-    n_yes, n_no = labels.sum(), len(labels) - labels.sum()
+    return names, *(np.bincount(code, np.concatenate(x), len(names)) for x in (yes, no))
+
+
+def chosen_model(names: np.ndarray, yes: np.ndarray, no: np.ndarray, n_yes: float, n_no: float) -> Model:
+    """Where learning starts: the features that at least LEAST_DOCUMENTS toxic texts have, and toxic texts markedly more
+    often than others, with their log odds as weights."""
     odds = np.log((yes + 0.5) / (n_yes - yes + 0.5)) - np.log((no + 0.5) / (n_no - no + 0.5))
     error = np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
-    strong = (yes >= LEAST_DOCUMENTS) & (odds > 2.0) & (odds > 2.0 * error)
-    chosen = np.flatnonzero(strong)
-    chosen = np.sort(chosen[np.argsort(-(odds / error)[chosen], kind="stable")][:MAX_FEATURES])
-    model = Model(names[chosen], np.clip(odds[chosen], 0, 6), -4.0, 0.02)
-    if not len(chosen):
-        model.leak = float(n_yes / len(labels) if share is None else share)
-        model.bias = -20.0
-        return model
-    # second pass: which sentence has which of the chosen features
-    rows, which, owner, base = [], [], [], 0
+    chosen = np.flatnonzero((yes >= LEAST_DOCUMENTS) & (odds > 2.0) & (odds > 2.0 * error))
+    chosen = np.sort(chosen[np.lexsort((names[chosen], -(odds / error)[chosen]))][:MAX_FEATURES])
+    return Model(names[chosen], np.clip(odds[chosen], 0, 6), -4.0, 0.02)
+
+
+def hits_of(model: Model, raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text: the numbers of its sentences with chosen features and of these features, one pair a hit."""
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(raw)
     for lo, _, data, starts in blocks(raw):
         s = sentences(data, starts)
         hit, at = model.found(s.features)
-        pairs = np.unique(s.sentence[hit] * np.int64(len(chosen)) + at)
-        scored, row = np.unique(pairs // len(chosen), return_inverse=True)
-        rows.append(row + base)
-        which.append(pairs % len(chosen))
-        owner.append(s.text[scored] + lo)
-        base += len(scored)
-    row, which, owner = np.concatenate(rows), np.concatenate(which), np.concatenate(owner)
-    # sentences without features aren't scored: what they miss is left to the leak
-    balance = np.ones(len(labels))
-    if share is not None and 0 < share < 1:
-        balance = np.where(labels > 0, share / n_yes, (1 - share) / n_no) * len(labels)
+        pairs = np.unique(s.sentence[hit] * np.int64(len(model.features) or 1) + at)
+        sentence, which = pairs // (len(model.features) or 1), pairs % (len(model.features) or 1)
+        owner = s.text[sentence]
+        edges = np.searchsorted(owner, np.arange(len(starts)))
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            found[lo + i] = (sentence[a:b], which[a:b])
+    return found
+
+
+@dataclass
+class Bags:
+    """Texts as bags of sentences: label of each text, text of each sentence, and (sentence, feature) of each hit.
+
+    Sentences without any chosen feature aren't in it: what they may add to a text's score is left to the leak.
+    """
+
+    labels: np.ndarray
+    owner: np.ndarray
+    row: np.ndarray
+    which: np.ndarray
+
+    @classmethod
+    def of(cls, hits: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Bags:
+        owner, row, which, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for text, (sentence, features) in enumerate(hits):
+            names, code = np.unique(sentence, return_inverse=True)
+            owner.append(np.full(len(names), text))
+            row.append(code + base)
+            which.append(np.asarray(features))
+            base += len(names)
+        return cls(np.asarray(labels, dtype=float), *(np.concatenate(x) for x in (owner, row, which)))
+
+    def log_q(self, w: np.ndarray, b: float, leak: float) -> np.ndarray:
+        """log(1 - score) of each text."""
+        z = b + np.bincount(self.row, w[self.which], len(self.owner))
+        return np.log1p(-leak) + np.bincount(self.owner, -np.logaddexp(0, z), len(self.labels))
+
+
+def regressed(model: Model, bags: Bags, weight: np.ndarray, decay: float, steps: int = 300, rate: float = 0.1) -> Model:
+    """Weights, bias and leak by gradient steps on the likelihood of the labels; ``weight``: of each text in it."""
+    labels, owner, row, which = bags.labels, bags.owner, bags.row, bags.which
     w, b, leak = model.weights.copy(), model.bias, np.log(model.leak)
-    m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
+    m, v, total = np.zeros(len(w) + 2), np.zeros(len(w) + 2), max(weight.sum(), 1e-9)
     for step in range(1, steps + 1):
         z = b + np.bincount(row, w[which], len(owner))
         p = 1 / (1 + np.exp(-z))
         base_p = np.exp(min(leak, -0.7))
-        log_q = np.log1p(-base_p) + np.bincount(owner, -np.logaddexp(0, z), len(labels))
-        q = np.exp(log_q)
-        slope = balance * np.where(labels > 0, q / np.maximum(1 - q, 1e-9), -1.0)  # of the likelihood's fall, by log_q
+        q = np.exp(np.log1p(-base_p) + np.bincount(owner, -np.logaddexp(0, z), len(labels)))
+        slope = weight * np.where(labels > 0, q / np.maximum(1 - q, 1e-9), -1.0)  # of the likelihood's fall, by log_q
         by_z = -slope[owner] * p
-        grad = np.concatenate((np.bincount(which, by_z[row], len(w)) / len(labels) + decay * w, [by_z.sum() / len(labels)], [(-slope * base_p / (1 - base_p)).sum() / len(labels)]))
+        grad = np.concatenate((np.bincount(which, by_z[row], len(w)) / total + decay * w, [by_z.sum() / total], [(-slope * base_p / (1 - base_p)).sum() / total]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b, leak = w - move[:-2], b - move[-2], leak - move[-1]
-    model.weights, model.bias, model.leak = w, float(b), float(np.exp(min(leak, -0.7)))
-    return model
+    return Model(model.features, w, float(b), float(np.exp(min(leak, -0.7))))
+
+
+def learned(model: Model, bags: Bags, share: float | None = None) -> Model:
+    """The model fitted to ``bags``; ``share``: of toxic texts among all labelled ones, where the sample differs.
+
+    The decay is the one under which texts of a fold are likeliest by the models of the other folds, over all folds of the
+    training rows; no other row has a say in it.
+    """
+    labels = bags.labels
+    n_yes = labels.sum()
+    if not len(model.features):
+        return Model(model.features, model.weights, -20.0, float(np.clip(n_yes / max(1, len(labels)) if share is None else share, 1e-6, 0.5)))
+    weight = np.ones(len(labels))
+    if share is not None and 0 < share < 1:
+        weight = np.where(labels > 0, share / n_yes, (1 - share) / (len(labels) - n_yes)) * len(labels)
+    # each class is dealt out in turn
+    fold = np.zeros(len(labels), dtype=np.int64)
+    for c in (0, 1):
+        own = np.flatnonzero((labels > 0) == c)
+        fold[own] = np.arange(len(own)) % FOLDS
+
+    def loss(decay: float) -> float:
+        found = 0.0
+        for k in range(FOLDS):
+            one = regressed(model, bags, weight * (fold != k), decay)
+            log_q = bags.log_q(one.weights, one.bias, one.leak)
+            likely = np.where(labels > 0, np.log(np.maximum(-np.expm1(log_q), 1e-12)), log_q)
+            found -= float((weight * likely)[fold == k].sum())
+        return found
+
+    best = min(DECAYS, key=loss) if min(n_yes, len(labels) - n_yes) >= FOLDS else DECAYS[1]
+    return regressed(model, bags, weight, best)
+
+
+def fit(texts: list[str | None], labels: np.ndarray, share: float | None = None) -> Model:
+    """The model of texts that are at hand; :func:`train` does the same with a table."""
+    labels = np.asarray(labels, dtype=float)
+    if not len(labels) or labels.min() == labels.max():
+        return Model()
+    raw = prepared(texts)
+    model = chosen_model(*feature_counts(raw, labels), labels.sum(), len(labels) - labels.sum())
+    return learned(model, Bags.of(hits_of(model, raw), labels), share)
 
 
 def training_rows(labels: DataFrame) -> DataFrame:
@@ -178,14 +249,42 @@ def training_rows(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Fit on at most ``per_class`` labelled documents of each class, those with the smallest hashes of the id, none
-    longer than SAMPLE_CHARS. The driver gets those texts only."""
+    longer than SAMPLE_CHARS; of different texts under one id, the least.
+
+    Texts stay with the executors: features are counted there, and the driver gets the counts of those that toxic texts
+    have often, then the hits of the chosen ones in the sample.
+    """
     rows = training_rows(labels)
     share = rows.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
     order = F.xxhash64("doc_id")
     sample = rows.where("toxic > 0").orderBy(order, "doc_id").limit(per_class).unionByName(rows.where("toxic <= 0").orderBy(order, "doc_id").limit(per_class))
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).join(F.broadcast(sample), "doc_id")  # at most 2 * per_class ids
-    got = texts.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").toPandas()
-    return fit(list(got.text), (got.toxic > 0).to_numpy(dtype=float), share)
+    got = written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max((F.col("toxic") > 0).cast("double")).alias("toxic")), "training-texts")
+    n_yes, n = got.agg(F.sum("toxic"), F.count("*")).first()
+    if not n or not 0 < n_yes < n:
+        return Model()
+
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, yes, no = feature_counts(prepared(batch.column("text").to_pylist()), batch.column("toxic").to_numpy(zero_copy_only=False))
+            yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(yes), pa.array(no)], names=["feature", "yes", "no"])
+
+    summed = got.mapInArrow(counts, "feature long, yes double, no double").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    # what chosen_model would drop needn't travel
+    odds = F.log((F.col("yes") + 0.5) / (n_yes - F.col("yes") + 0.5)) - F.log((F.col("no") + 0.5) / (n - n_yes - F.col("no") + 0.5))
+    likely = summed.where((F.col("yes") >= LEAST_DOCUMENTS) & (odds > 1.99)).toArrow()
+    names = likely.column("feature").to_numpy().view(np.uint64)
+    by_name = np.argsort(names)
+    model = chosen_model(names[by_name], *(likely.column(c).to_numpy()[by_name] for c in ("yes", "no")), n_yes, n - n_yes)
+
+    def hits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = hits_of(model, prepared(batch.column("text").to_pylist()))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("toxic"), *(pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1))], names=["doc_id", "toxic", "sentence", "which"])
+
+    bags = got.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(hits, "doc_id long, toxic double, sentence array<long>, which array<long>").orderBy("doc_id").toArrow()
+    pairs = [(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) for a, b in zip(bags.column("sentence").to_pylist(), bags.column("which").to_pylist(), strict=True)]
+    return learned(model, Bags.of(pairs, bags.column("toxic").to_numpy()), share)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from llm.helpers import awkward, prose, texts_of
 from packetloom.llm import line_dedup, near_duplicates, quality, secret_scan, toxicity, url_filter
 from packetloom.llm.common import range_bounds, range_bucket, scratch_path
+from packetloom.llm.wordhash import RangeHash
 
 
 @pytest.fixture(scope="module")
@@ -232,6 +233,49 @@ def test_noisy_or_learns_and_locates():
     assert model.score([long])[0][0] < toxicity.THRESHOLD  # clean sentences don't add up
 
 
+def plain_score(model, text):
+    """The noisy-or over the sentences that have features with a weight, word by word."""
+    weight = dict(zip(model.features.tolist(), model.weights, strict=True))
+
+    def name(data):
+        found = np.frombuffer(data, dtype=np.uint8)
+        return int(RangeHash(found).of(np.array([0]), np.array([len(found)]))[0])
+
+    clean = 1 - model.leak
+    for sentence in re.split(rb"[.!?\n]", (text or "").lower().encode()):
+        own = set()
+        for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence):
+            own |= {name(word), *(name(word[:n]) ^ n for n in toxicity.PREFIXES if len(word) > n)}
+        if own & weight.keys():
+            clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weight[x] for x in sorted(own & weight.keys())))))
+    return 1 - clean
+
+
+def test_scores_are_the_noisy_or(docs):
+    rows = labelled(500)
+    model = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    assert len(model.features) > 5
+    texts = [t for _, t, _ in labelled(300, seed=8)] + [t for _, t in texts_of(docs)] + ["Vilenen! VILETO wretchix\nvile. Ünvile?", "!" * 50]
+    scores, _ = model.score(texts)
+    assert np.abs(scores - [plain_score(model, t) for t in texts]).max() < 1e-9
+
+
+def test_table_and_texts_learn_the_same(spark):
+    """And nothing is learnt from held-out labels."""
+    import zlib
+
+    rows = labelled(400)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    model = toxicity.train(frame, frame.select("doc_id", "toxic"), per_class=1000)
+    known = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    same = toxicity.fit([t for t, _ in known], np.array([y for _, y in known]), sum(y for _, y in known) / len(known))
+    other = frame.select("doc_id", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic"))
+    blind = toxicity.train(frame, other, per_class=1000)
+    texts = [t for _, t, _ in labelled(100, seed=9)]
+    for one in (same, blind):
+        assert one.features.tolist() == model.features.tolist() and np.abs(one.score(texts)[0] - model.score(texts)[0]).max() < 1e-9
+
+
 def test_scores_of_odd_texts():
     model = toxicity.fit([t for _, t, _ in labelled(300)], np.array([y for *_, y in labelled(300)]))
     scores, located = model.score([None, "", " .!?\n", "é" * 10_000, "x"])
