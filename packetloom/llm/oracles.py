@@ -11,16 +11,22 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def url_filter(rules: Iterable[tuple[str, str]], listed: Iterable[tuple[str, str]]) -> str:
-    entries = [(entry, verdict, rule) for kind, rule in ((rules, "true"), (listed, "false")) for verdict, entry in kind]
-    values = ", ".join(f"({quoted(e.partition('/')[0])}, {quoted('/' + e.partition('/')[2])}, {quoted(v)}, {r})" for e, v, r in entries)
-    return f"""WITH u AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-      h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
-      p AS (SELECT page_id, n, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-      e(e_host, e_path, verdict, is_rule) AS (VALUES {values}),
-      m AS (SELECT n, max_by((e_host, e_path, verdict, is_rule), (is_rule, length(e_host) + length(e_path), length(e_host))) AS best
-        FROM p JOIN e ON (host = e_host OR ends_with(host, '.' || e_host)) AND starts_with(path, e_path) GROUP BY n)
-      SELECT page_id, host, path, CASE WHEN best[4] THEN best[1] || best[2] END AS rule, coalesce(best[3], 'allow') AS verdict FROM p LEFT JOIN m USING (n)"""
+def url_filter(rules: Iterable[tuple[str, str]], listed: Iterable[str]) -> str:
+    values = ", ".join(f"({quoted(e.partition('/')[0])}, {quoted('/' + e.partition('/')[2])}, {quoted(v)})" for v, e in rules)
+    urls = ", ".join(f"({quoted(u if '://' in u else 'x://' + u)})" for u in listed)
+    # the same for pages and listed URLs: what stands after the scheme, the host, the path, and both in canonical form
+    split = """SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM {0})"""
+    parts = """SELECT *, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM ({0})"""
+    clean = """SELECT *, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS c_host, array_to_string(list_transform(string_split(path, '%'), lambda p, i:
+      CASE WHEN i = 1 THEN p WHEN regexp_matches(p, '^([46][1-9A-Fa-f]|[57][0-9Aa]|3[0-9]|2[DdEe]|5[Ff]|7[Ee])') THEN chr(CAST('0x' || left(p, 2) AS INTEGER)) || substr(p, 3) ELSE '%' || p END), '') AS c_path FROM ({0})"""
+    whole = lambda source: clean.format(parts.format(split.format(source)))
+    return f"""WITH p AS ({whole('(SELECT page_id, row_number() OVER () AS n, url FROM pages)')}),
+      u(url) AS (VALUES {urls}), l AS (SELECT DISTINCT c_host AS l_host, rtrim(c_path, '/') AS l_path FROM ({whole('u')}) WHERE c_host <> ''),
+      e(e_host, e_path, verdict) AS (VALUES {values}),
+      m AS (SELECT n, max_by((e_host, e_path, verdict), (length(e_host) + length(e_path), length(e_host))) AS best
+        FROM p JOIN e ON (host = e_host OR ends_with(host, '.' || e_host)) AND starts_with(path, e_path) GROUP BY n),
+      b AS (SELECT DISTINCT n FROM p JOIN l ON (c_host = l_host OR ends_with(c_host, '.' || l_host)) AND (l_path = '' OR c_path = l_path OR starts_with(c_path, l_path || '/')))
+      SELECT page_id, host, path, best[1] || best[2] AS rule, CASE WHEN best IS NOT NULL THEN best[3] WHEN b.n IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM p LEFT JOIN m USING (n) LEFT JOIN b USING (n)"""
 
 
 #: Kinds of secret, their patterns as the SQL engine reads them, and which group must have how many characters.

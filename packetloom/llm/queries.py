@@ -45,14 +45,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, target))
 
 
-#: Rules first; then the listed URLs: sites whose pages are refused where no rule speaks.
+#: The rules, which come before the listed URLs.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-URL_LIST = [("block", f"{site}.example.{top}/") for site in ("spam-farm", "adult-x") for top in ("com", "net", "org")]
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on the URLs of all pages, by the rules and else by the list."""
-    listed = url_filter.entries(spark, [(v, e, True) for v, e in URL_RULES] + [(v, e, False) for v, e in URL_LIST])
+    """Verdicts on the URLs of all pages, by the rules and else by the listed URLs."""
+    listed = url_filter.entries(spark, [(v, e, True) for v, e in URL_RULES] + [("block", url, False) for url in url_filter.listed_urls()])
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed).drop("url")
 
 
@@ -107,7 +106,7 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
-    "op5_url_filter": oracles.url_filter(URL_RULES, URL_LIST),
+    "op5_url_filter": oracles.url_filter(URL_RULES, url_filter.listed_urls()),
     "op6_secret_scan": oracles.secrets(),
     "op8_line_dedup": oracles.lines(),
     "op10_quality": oracles.quality_rules(),

@@ -33,34 +33,67 @@ def test_range_buckets(spark):
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 URLS = [None, "", "no scheme", "http://Example.ORG/es/x?q#f", "https://a.example.org/en/12", "https://a.example.org/en/2", "x://example.org", "http://notexample.org/es/", "http://com/de/", "http://a.b.com/de/x", "http://h.net/de/", "http://h.com?x=/de/", "http://h.com#/fr/", "ftp://a.com/fr/://z", "http://", "http:///path", "http://spam.net/a", "http://a.org./x", "http://É.org/é", "http://x.com/de/\nnew"] * 2
+URLS += ["http://SPAM.net", "http://u:p@www.spam.net.:8080/b?x", "http://spam.net/%62/c", "http://spam.net/bc", "http://spam.net/%2", "http://spam.net/%zz%62", "http://nospam.net/b", "http://deep.net/a/b", "http://deep.net/a/b/", "http://deep.net/a/bc", "http://deep.net/%61%2Fb/c", "http://deep.net/a/%62/c", "http://" + "x." * 3000 + "spam.net/", "http://deep.net" + "/a" * 5000, "http://:80/", "http://@/x", "http://.../"]
+LIST = [("block", "HTTP://me@Spam.NET:80/?home"), ("allow", "spam.net/b/"), ("block", "deep.net/%61/b#x"), ("allow", "deep.net/a/b/c"), ("block", "spam.net"), ("block", "http://"), ("block", "")]
 
 
-def plain_verdict(url, rules, listed):
+def plain_split(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
-    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
 
-    def best(entries):
-        fits = [(len(e), len(e.split("/")[0]), e, v) for v, e in entries if (host == (h := e.split("/")[0]) or host.endswith("." + h)) and path.startswith("/" + e.partition("/")[2])]
-        return max(fits, default=None) if host else None
 
-    rule, hit = best(rules), best(listed)
-    return host, path, rule[2] if rule else None, rule[3] if rule else hit[3] if hit else "allow"
+def plain_canonical(host, path):
+    host = re.sub(r":[0-9]*$", "", host.rpartition("@")[2]).rstrip(".")
+    return host, re.sub("%([0-9A-Fa-f]{2})", lambda m: c if re.fullmatch("[A-Za-z0-9._~-]", c := chr(int(m[1], 16))) else m[0], path)
 
 
-@pytest.mark.parametrize("limit", [url_filter.MAX_FILTER_BYTES, 0])
+def plain_verdict(url, rules, listed):
+    host, path = plain_split(url)
+    clean_host, clean_path = plain_canonical(host, path)
+    under = lambda h, e: h == e or h.endswith("." + e)
+    fits = [(len(e), len(e.split("/")[0]), e, v) for v, e in rules if host and under(host, e.split("/")[0]) and path.startswith("/" + e.partition("/")[2])]
+    hits = []
+    for v, e in listed:
+        h, p = plain_canonical(*plain_split(e if "://" in e else "x://" + e))
+        p = p.rstrip("/")
+        if h and clean_host and under(clean_host, h) and (clean_path == p or clean_path.startswith(p + "/") or not p):
+            hits.append((len(h + p), len(h), v))
+    rule, hit = max(fits, default=None), max(hits, default=None)
+    return host, path, rule[2] if rule else None, rule[3] if rule else hit[2] if hit else "allow"
+
+
+@pytest.mark.parametrize("limit", [url_filter.SEGMENT_BYTES, 128, 32])
 def test_urls(spark, monkeypatch, limit):
-    monkeypatch.setattr(url_filter, "MAX_FILTER_BYTES", limit)
-    listed = [("block", "spam.net/"), ("allow", "spam.net/b")]
-    frame = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(URLS)], "page_id long, url string, host string, row_id int")
-    entries = url_filter.entries(spark, [(v, e, True) for v, e in RULES] + [(v, e, False) for v, e in listed])
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(frame, entries).collect()}
-    assert got == {i: plain_verdict(u, RULES, listed) for i, u in enumerate(URLS)}
+    """With a filter of one segment, of some segments, and of many."""
+    more = [("block", f"site{i}.test/x/{i}") for i in range(200)]
+    monkeypatch.setattr(url_filter, "SEGMENT_BYTES", limit)
+    names = "page_id long, url string, host string, row_id int, key string, entry string, best string, keys__ int, Verdict string"
+    urls = URLS + [f"http://a.site{i}.test/x/{j}" for i in range(0, 200, 7) for j in (i, i + 1)]
+    frame = spark.createDataFrame([(i, u, "x", 1, "k", "e", "b", 2, "v") for i, u in enumerate(urls)], names)
+    entries = url_filter.entries(spark, [(v, e, True) for v, e in RULES] + [(v, e, False) for v, e in LIST + more])
+    rows = url_filter.judge(frame, entries)
+    assert rows.columns == ["page_id", "url", "row_id", "key", "entry", "best", "keys__", "host", "path", "rule", "verdict"]
+    found = rows.collect()
+    assert {(r.row_id, r.key, r.entry, r.best, r.keys__) for r in found} == {(1, "k", "e", "b", 2)}
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found} == {i: plain_verdict(u, RULES, LIST + more) for i, u in enumerate(urls)}
     assert url_filter.judge(frame.limit(0), entries).count() == 0
     assert {r.verdict for r in url_filter.judge(frame, entries.limit(0)).collect()} == {"allow"}
 
 
+def test_segments_hold_what_the_filter_holds(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("key"))
+    asked = spark.range(20_000).select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("key"))
+    whole = url_filter.BlockedBloom(3000)
+    whole.add(keys.select(F.xxhash64("key").alias("h")).toArrow().column("h").to_numpy())
+    rows = asked.select("key", F.xxhash64("key").alias("h")).toArrow()
+    want = {k for k, held in zip(rows.column("key").to_pylist(), whole.may_hold(rows.column("h").to_numpy()), strict=True) if held}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(url_filter, "SEGMENT_BYTES", 1000)
+        assert {r.key for r in url_filter.possible_keys(asked, keys, 3000).collect()} == want
+
+
 def test_repeated_pages_each_have_a_row(spark):
     frame = spark.createDataFrame([(1, "http://a.com/de/")] * 5 + [(None, "http://a.com/de/")] * 2, "page_id long, url string")
     assert url_filter.judge(frame, url_filter.entries(spark, [("block", "com/de/", True)])).count() == 7
