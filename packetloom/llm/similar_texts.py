@@ -5,11 +5,13 @@ operator 9; a shorter text is one shingle; texts without words are one set, the
 within ``RADIUS`` bits. These fingerprints vote on single words, each with the root of its count: an edited word changes
 five shingles but one vote, so similar texts lie closer together than by shingles; see the README for measured recall.
 
-Candidates meet in buckets of (partition, bits, class of size): sets that similar differ in size by a quarter at most, so
-they are in the same class or in neighbouring ones. Every text is first held against the least text of its buckets, which
-costs no more than the probes do; pairs are then sought between the components found so, never within one, so a large
-group of near copies isn't compared pair by pair. Candidates must also be close by a second fingerprint, of the shingles,
-before their sets are compared; it lets through all but some thousandths of a percent of the pairs at 0.8.
+Candidates meet in buckets of (partition, bits, minimum): a set has four minima, the least of its shingles in four random
+orders, and two sets share each of them with odds of their similarity, so all but some thousandths of the pairs at 0.8
+share one. A text none of whose minima any other set has is in no bucket. Every text is first held against the least text
+of its buckets, which costs no more than the probes do; pairs are then sought between the components found so, never
+within one, so a large group of near copies isn't compared pair by pair. Candidates must also fit in size and be close by
+a second fingerprint, of the shingles, before their sets are compared; it lets through all but some thousandths of a
+percent of the pairs at 0.8.
 
 Equal sets are one node, named by a 64-bit hash: among a billion sets, the odds that any two share one are 3 in 100.
 Null texts count as empty. Repeated rows and ties of id are settled by ``one_of_each``; an empty table gives no rows.
@@ -32,14 +34,18 @@ from packetloom.llm.wordhash import WHITE_SPACE, RangeHash, blocks, mixed, spans
 WORDS = 5
 #: Bits that fingerprints of words and, at candidates, of shingles may differ in. Of texts that share 0.8 of their shingles,
 #: a bit of the latter differs with odds of 0.15, so ten do, and over 22 do once in tens of thousands of pairs.
-RADIUS, SHINGLE_RADIUS = 6, 22
+RADIUS, SHINGLE_RADIUS = 8, 22
 #: At least so similar, as a fraction.
 PART, WHOLE = 4, 5
 VOTE_ROWS = 1 << 15
+#: Members of a component in a bucket, up to which pairs within it may be formed and dropped at once.
+FEW = 8
 #: Votes are whole numbers, so their sums don't depend on the order: the root of a count times this.
 ROOT_SCALE = 64
 #: Odd multipliers for the places of the words in a shingle.
 PLACES = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
+#: What makes the random orders of the minima.
+ORDERS = mixed(np.arange(101, 105, dtype=np.uint64))
 
 
 def voted(hashes: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -95,42 +101,49 @@ def features(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarr
         yield value.view(np.int64), check.view(np.int64), shingles, np.cumsum(np.bincount(own, minlength=hi - lo))
 
 
+def minima(shingles: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least of each set's shingles in each order, a row a set; empty sets have their own."""
+    found = np.full((len(ends), len(ORDERS)), -1, dtype=np.int64)
+    starts = np.append(0, ends[:-1]).astype(np.int64)
+    full = ends > starts
+    for k, order in enumerate(ORDERS):
+        if full.any():
+            found[full, k] = np.minimum.reduceat(mixed(shingles.view(np.uint64) ^ order).view(np.int64), starts[full])
+    return found
+
+
 def looked_up(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, node, size, value, check) for each row of (doc_id, text): key is the text's hash, node that of its set,
-    size the number of its shingles, value and check the fingerprints. No shuffle."""
+    """(doc_id, key, node, size, value, check, minima) for each row of (doc_id, text): key is the text's hash, node that of
+    its set, size the number of its shingles, value and check the fingerprints. No shuffle."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for value, check, shingles, ends in features(t.as_py() for t in batch.column("text")):
                 data, starts = shingles.tobytes(), np.append(0, ends[:-1])
                 nodes = [xxhash.xxh64_intdigest(data[8 * a : 8 * b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                for column, part in zip(columns, (np.array(nodes, dtype=np.uint64).view(np.int64), (ends - starts).astype(np.int32), value, check), strict=True):
+                for column, part in zip(columns, (np.array(nodes, dtype=np.uint64).view(np.int64), (ends - starts).astype(np.int32), value, check, minima(shingles, ends).ravel()), strict=True):
                     column.append(part)
             if batch.num_rows:
-                yield pa.record_batch([batch.column("doc_id"), batch.column("key"), *(pa.array(np.concatenate(c)) for c in columns)], names=["doc_id", "key", "node", "size", "value", "check"])
+                *flat, least = (pa.array(np.concatenate(c)) for c in columns)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(least) + 1, len(ORDERS), dtype=np.int32)), least)
+                yield pa.record_batch([batch.column("doc_id"), batch.column("key"), *flat, lists], names=["doc_id", "key", "node", "size", "value", "check", "minima"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(of, "doc_id long, key long, node long, size int, value long, check long")
-
-
-def size_class(size: Column) -> Column:
-    """Sets of sizes that allow a similarity of 0.8 are in the same class or in neighbouring ones."""
-    return F.when(size > 0, F.floor(F.log(size.cast("double")) / F.lit(np.log(WHOLE / PART)) + 1e-9).cast("int")).otherwise(-1)
+    return rows.mapInArrow(of, "doc_id long, key long, node long, size int, value long, check long, minima array<long>")
 
 
-def buckets(nodes: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """(at, m, home) for each bucket that a node of (m) is in: its own ones (home), and those that it probes, which are its
-    neighbours within a partition's threshold, in its own class of size and in the next."""
+def buckets(slots: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+    """(at, m, home) for each bucket that a node of (m, minimum) is in: its own ones (home), and those that it probes, which
+    are its neighbours within a partition's threshold."""
     places = [[b for b in range(BITS) if mask >> b & 1] for mask, _ in parts]
     flips = [[sum(1 << b for b in chosen) for d in range(t + 1) for chosen in combinations(own, d)] for own, (_, t) in zip(places, parts, strict=True)]
     kept = [F.col("m.value").bitwiseAND(F.lit(signed(mask))) for mask, _ in parts]
-    probes = [F.struct(F.lit(n).alias("part"), kept[n].bitwiseXOR(F.lit(signed(f))).alias("key"), F.lit(f == 0).alias("own")) for n in range(len(parts)) for f in flips[n]]
-    spread = nodes.select("m", size_class(F.col("m.size")).alias("class"), F.explode(F.array(*probes)).alias("p")).select("m", "class", "p.*")
-    step = spread.select("m", "part", "key", "class", "own", F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
-    return step.select(F.xxhash64("part", "key", F.col("class") + F.col("step")).alias("at"), "m", (F.col("own") & (F.col("step") == 0)).alias("home"))
+    probes = [F.struct(F.lit(n).alias("part"), kept[n].bitwiseXOR(F.lit(signed(f))).alias("key"), F.lit(f == 0).alias("home")) for n in range(len(parts)) for f in flips[n]]
+    spread = slots.select("m", "minimum", F.explode(F.array(*probes)).alias("p")).select("m", "minimum", "p.*")
+    return spread.select(F.xxhash64("part", "key", "minimum").alias("at"), "m", "home")
 
 
 def close(a: Column, b: Column, radius: int) -> Column:
@@ -165,10 +178,13 @@ def verified(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def similar_roots(rows: DataFrame, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, root) of the components of all links, for nodes that are in any. ``rows`` from :func:`looked_up`."""
-    first = F.min(F.struct("key", "value", "check", "size")).alias("f")
-    nodes = written(rows.groupBy("node").agg(first).select("f.key", F.struct("node", "f.value", "f.check", "f.size").alias("m")), "nodes")
-    parts = plan(nodes.select("m.value", size_class(F.col("m.size")).alias("class")), radius, "class")
-    probes = buckets(nodes, parts)
+    first = F.min(F.struct("key", "value", "check", "size", "minima")).alias("f")
+    nodes = written(rows.groupBy("node").agg(first).select("f.key", F.struct("node", "f.value", "f.check", "f.size").alias("m"), "f.minima"), "nodes")
+    own = nodes.select("m", F.posexplode("minima").alias("order", "least")).select("m", F.xxhash64("order", "least").alias("minimum"))
+    common = written(own.groupBy("minimum").count().where("count > 1").select("minimum"), "common-minima")
+    slots = written(own.join(common, "minimum"), "slots")
+    parts = plan(slots.select("m.value", "minimum"), radius, "minimum")
+    probes = buckets(slots, parts)
     least = probes.where("home").groupBy("at").agg(F.min("m").alias("least"), F.count("*").alias("n"))
     # buckets of one home are done with after it; of the others, all members are needed again
     met = probes.join(least, "at").withColumn("near", close(F.col("m"), F.col("least"), radius)).where("n > 1 OR near")
@@ -180,13 +196,17 @@ def similar_roots(rows: DataFrame, docs: DataFrame, radius: int = RADIUS) -> Dat
     members = met.where("n > 1").select("at", "m", "home")
     placed = members.join(roots, F.col("m.node") == F.col("node"), "left").select("at", "m", "home", F.coalesce("root", "m.node").alias("root"))
     placed = written(placed, "placed")
-    # which components have members and homes in the same bucket: pairs within one are never formed
-    there = placed.groupBy("at", "root").agg(F.max("home").alias("home"))
-    homes = there.where("home").select("at", F.col("root").alias("other"))
-    across = there.select("at", "root").join(homes, "at").where("root <> other")
-    ahead = placed.select("at", "root", "m").join(across, ["at", "root"])
-    meeting = ahead.join(placed.where("home").select("at", F.col("root").alias("other"), F.col("m").alias("h")), ["at", "other"])
-    rest = written(pairs(meeting.where(close(F.col("m"), F.col("h"), radius)), "m", "h").join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    # of the buckets where components meet: pairs within one are never asked for, and where one has many members not formed
+    there = placed.groupBy("at", "root").agg(F.max("home").alias("home"), F.count("*").alias("n"))
+    shared = written(there.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("most")).where("lo < hi").select("at", "most"), "shared-buckets")
+    homes = placed.where("home").select("at", F.col("root").alias("other"), F.col("m").alias("h"))
+    few = placed.join(shared.where(F.col("most") <= FEW), "at", "left_semi").join(homes, "at").where("root <> other")
+    crowded = shared.where(F.col("most") > FEW)
+    apart = there.join(crowded, "at", "left_semi")
+    across = apart.select("at", "root").join(apart.where("home").select("at", F.col("root").alias("other")), "at").where("root <> other")
+    many = placed.join(across, ["at", "root"]).join(homes, ["at", "other"])
+    meeting = few.select("m", "h").union(many.select("m", "h")).where(close(F.col("m"), F.col("h"), radius))
+    rest = written(pairs(meeting, "m", "h").join(tried, ["a", "b"], "left_anti"), "other-pairs")
     return components(near.union(verified(rest, nodes, docs)))
 
 

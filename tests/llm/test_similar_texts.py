@@ -87,7 +87,9 @@ def test_links_of_the_stage(spark):
     assert distinct - len(plain_kept(every)) >= 0.9 * (distinct - len(plain_kept(every, 64)))
 
 
-def test_links_at_another_radius(spark):
+def test_links_at_another_radius(spark, monkeypatch):
+    """And with components in buckets counted as crowded from two members on."""
+    monkeypatch.setattr(similar_texts, "FEW", 1)
     rows, radius = edited_copies(), 2
     kept = similar_texts.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), radius)
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == plain_kept(rows, radius)
@@ -97,6 +99,7 @@ def test_sets_and_fingerprints():
     texts = [None, "", " \n", "One", "one two", "a b c d", "a b c d e", "a b c d e f a b c d e", "é ü 中文 é x y", prose(random.Random(2), 3000)]
     values, sets = [], []
     for value, _, shingles, ends in similar_texts.features(texts):
+        assert similar_texts.minima(shingles, ends).shape == (len(ends), 4)
         values += [int(v) & (1 << 64) - 1 for v in value]
         sets += [frozenset(s.tolist()) for s in np.split(shingles, ends[:-1])]
     assert values == [plain_value(t) for t in texts] and [len(s) for s in sets] == [len(plain_set(t)) for t in texts]
@@ -107,10 +110,14 @@ def test_sets_and_fingerprints():
     assert [int(a[0][0]) & (1 << 64) - 1 for a in apart] == values and [frozenset(a[2].tolist()) for a in apart] == sets
 
 
-def test_classes_of_similar_sizes_are_neighbours(spark):
-    rows = spark.range(1, 3000).select("id", similar_texts.size_class(F.col("id")).alias("c")).collect()
-    at = {r.id: r.c for r in rows}
-    assert all(0 <= at[n] - at[-(-4 * n // 5)] <= 1 for n in at)
+def test_minima_agree_as_often_as_sets_do():
+    rnd = np.random.default_rng(4)
+    sets = [np.sort(rnd.integers(-(1 << 62), 1 << 62, 90)) for _ in range(400)]
+    others = [np.sort(np.concatenate((a[:80], rnd.integers(-(1 << 62), 1 << 62, 10)))) for a in sets]
+    least = [similar_texts.minima(np.concatenate(x), np.cumsum([len(a) for a in x])) for x in (sets, others)]
+    same = least[0] == least[1]
+    assert abs(same.mean() - 0.8) < 0.03 and same.any(axis=1).mean() > 0.98
+    assert similar_texts.minima(np.zeros(0, np.int64), np.array([0, 0])).tolist() == [[-1] * 4] * 2
 
 
 def test_group_of_copies_meets_few_pairs(spark, monkeypatch):
