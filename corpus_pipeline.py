@@ -7,12 +7,15 @@ empty; an empty table passes through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import line_dedup, packing, secret_scan, similar_texts, toxicity
 from packetloom.llm.common import written
+from packetloom.session import configure
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,7 +37,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 of their five-word shingles and have fingerprints within 6 bits, directly or by others, the
+    """Of documents that share 0.8 of their five-word shingles and have fingerprints within 8 bits, directly or by others, the
     one with the smallest doc_id stays."""
     return similar_texts.keep_one(docs.select(*COLUMNS))
 
@@ -49,12 +52,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _configured(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    return lambda spark, docs, sf_dir: stage(configure(spark), docs, sf_dir)
+
+
+#: Each applies the engine's settings to the session, of which those on batches bound the memory of Python workers.
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_boilerplate),
-    ("near_duplicates", drop_near_duplicates),
-    ("secrets", redact_secrets),
-    ("packing", pack),
+    ("toxicity", _configured(drop_toxic)),
+    ("line_dedup", _configured(drop_boilerplate)),
+    ("near_duplicates", _configured(drop_near_duplicates)),
+    ("secrets", _configured(redact_secrets)),
+    ("packing", _configured(pack)),
 ]
 
 #: Trained scores and components have no SQL; tests hold near_duplicates against all pairs, and the other stages to counts
