@@ -8,8 +8,8 @@ five shingles but one vote, so similar texts lie closer together than by shingle
 Candidates meet in buckets of (partition, bits, minimum): a set has four minima, the least of its shingles in four random
 orders, and two sets share each of them with odds of their similarity, so all but some thousandths of the pairs at 0.8
 share one. A text none of whose minima any other set has is in no bucket. Every text is first held against the least text
-of its buckets, which costs no more than the probes do; pairs are then sought between the components found so, never
-within one, so a large group of near copies isn't compared pair by pair. Candidates must also fit in size and be close by
+with the same minimum, four at most; pairs are then sought in the buckets between the components found so, never within
+one, so a large group of near copies isn't compared pair by pair. Candidates must also fit in size and be close by
 a second fingerprint, of the shingles, before their sets are compared; it lets through all but some thousandths of a
 percent of the pairs at 0.8.
 
@@ -184,17 +184,12 @@ def similar_roots(rows: DataFrame, docs: DataFrame, radius: int = RADIUS) -> Dat
     common = written(own.groupBy("minimum").count().where("count > 1").select("minimum"), "common-minima")
     slots = written(own.join(common, "minimum"), "slots")
     parts = plan(slots.select("m.value", "minimum"), radius, "minimum")
-    probes = buckets(slots, parts)
-    least = probes.where("home").groupBy("at").agg(F.min("m").alias("least"), F.count("*").alias("n"))
-    # buckets of one home are done with after it; of the others, all members are needed again
-    met = probes.join(least, "at").withColumn("near", close(F.col("m"), F.col("least"), radius)).where("n > 1 OR near")
-    met = written(met.select("at", "m", "home", "least", "n", "near"), "met")
-    tried = written(pairs(met.where("near"), "m", "least"), "first-pairs")
+    least = slots.groupBy("minimum").agg(F.min("m").alias("least"))
+    tried = written(pairs(slots.join(least, "minimum").where(close(F.col("m"), F.col("least"), radius)), "m", "least"), "first-pairs")
     near = written(verified(tried, nodes, docs), "first-links")
     roots = written(components(near), "first-components")
 
-    members = met.where("n > 1").select("at", "m", "home")
-    placed = members.join(roots, F.col("m.node") == F.col("node"), "left").select("at", "m", "home", F.coalesce("root", "m.node").alias("root"))
+    placed = buckets(slots, parts).join(roots, F.col("m.node") == F.col("node"), "left").select("at", "m", "home", F.coalesce("root", "m.node").alias("root"))
     placed = written(placed, "placed")
     # of the buckets where components meet: pairs within one are never asked for, and where one has many members not formed
     there = placed.groupBy("at", "root").agg(F.max("home").alias("home"), F.count("*").alias("n"))
