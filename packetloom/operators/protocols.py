@@ -182,30 +182,51 @@ def first_register(rows: DataFrame, layer: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.coalesce(coerce.text_to_long(F.col(out)), F.lit(-1).cast("bigint")))
 
 
-#: Kinds of value: how the unwrapped variant becomes text, and the text a value.
-TEXTS = {"int": coerce.number_text, "zero": coerce.number_text, "float": coerce.number_text, "epoch": coerce.number_text, "str": coerce.as_text, "bytes": coerce.as_text, "text": coerce.as_text, "or_empty": coerce.truthy_text, "or_any": coerce.truthy_text}
+#: Kinds of value: which kinds are read alike, how an unwrapped variant becomes text, and how a text a value.
+READ_AS = {"int": "whole", "zero": "whole", "float": "decimal", "epoch": "time", "str": "text", "bytes": "text", "text": "text", "or_empty": "truthy", "or_any": "truthy"}
+TEXTS = {"whole": coerce.number_text, "decimal": coerce.number_text, "time": coerce.number_text, "text": coerce.as_text, "truthy": coerce.truthy_text}
+PARSED = {"whole": coerce.text_to_long, "decimal": coerce.text_to_double, "time": coerce.epoch, "text": lambda t: t, "truthy": lambda t: t}
 VALUES = {
-    "int": lambda t: F.coalesce(coerce.text_to_long(t), F.lit(-1).cast("bigint")),
-    "zero": lambda t: F.coalesce(coerce.text_to_long(t), F.lit(0).cast("bigint")),
-    "float": lambda t: F.coalesce(coerce.text_to_double(t), F.lit(-1.0)),
-    "epoch": lambda t: coerce.epoch(t),
-    "str": lambda t: F.coalesce(t, F.lit("")),
-    "bytes": lambda t: packets.payload_bytes(t),
-    "text": lambda t: t,
-    "or_empty": lambda t: F.coalesce(t, F.lit("")),
-    "or_any": lambda t: F.coalesce(t, F.lit("0.0.0.0")),
+    "int": lambda v: F.coalesce(v, F.lit(-1).cast("bigint")),
+    "zero": lambda v: F.coalesce(v, F.lit(0).cast("bigint")),
+    "float": lambda v: F.coalesce(v, F.lit(-1.0)),
+    "epoch": lambda v: v,
+    "str": lambda v: F.coalesce(v, F.lit("")),
+    "bytes": lambda v: packets.payload_bytes(v),
+    "text": lambda v: v,
+    "or_empty": lambda v: F.coalesce(v, F.lit("")),
+    "or_any": lambda v: F.coalesce(v, F.lit("0.0.0.0")),
 }
+
+
+def _texts(values_: Column, reading: str) -> Column:
+    """Texts of an array of variants. Strings and numbers are theirs; only lists, booleans and what looks like them, and
+    what may be false, are told apart by type."""
+    slow = lambda v: coerce.let(unwrap(v), TEXTS[reading])
+    if reading == "truthy":
+        return F.transform(values_, slow)
+    return F.transform(values_, lambda v: coerce.let(F.try_variant_get(v, "$", "string"), lambda t: F.when(t.startswith("[") | t.isin("true", "false"), slow(v)).otherwise(t)))
+
+
 DELTAS = {"frame_delta": ["frame", "frame.time_delta"], "tcp_delta": ["tcp", "Timestamps", "tcp.time_delta"]}
 
 
 def values(rows: DataFrame, fields: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """``rows`` (from :func:`parsed`) with a column for each field (name, kind, path), and ``delta_source``."""
+    """``rows`` (from :func:`parsed`) with a column for each field (name, kind, path), and ``delta_source``.
+
+    Values that are read alike stand in one array, over which the reading is stated once: stated for each column, the
+    generated code would be over what a method may have, and Spark would give it up.
+    """
     before = [c for c in rows.columns]
     wide = leaves(rows, {name: path for name, _, path in fields} | DELTAS)
     wide = wide.withColumn("delta_source", packets.delta_source(F.col("frame_delta__"), F.col("tcp_delta__")))
-    for step in (lambda kind, c: unwrap(c), lambda kind, c: TEXTS[kind](c), lambda kind, c: VALUES[kind](c)):
-        wide = wide.withColumns({f"{name}__": step(kind, F.col(f"{name}__")) for name, kind, _ in fields})
-    return wide.select(*(c for c in before if c != "layers__"), "delta_source", *(F.col(f"{name}__").alias(name) for name, _, _ in fields))
+    alike = {reading: [name for name, kind, _ in fields if READ_AS[kind] == reading] for reading in TEXTS}
+    alike = {reading: names for reading, names in alike.items() if names}
+    wide = wide.select(*(c for c in before if c != "layers__"), "delta_source", *(F.array(*(F.col(f"{name}__") for name in names)).alias(f"read_{reading}__") for reading, names in alike.items()))
+    wide = wide.withColumns({f"read_{reading}__": _texts(F.col(f"read_{reading}__"), reading) for reading in alike})
+    wide = wide.withColumns({f"read_{reading}__": F.transform(f"read_{reading}__", PARSED[reading]) for reading in alike if reading not in ("text", "truthy")})
+    found = {name: VALUES[kind](F.get(f"read_{READ_AS[kind]}__", F.lit(alike[READ_AS[kind]].index(name)))) for name, kind, _ in fields}
+    return wide.select(*(c for c in before if c != "layers__"), "delta_source", *(c.alias(name) for name, c in found.items()))
 
 
 def extracted(raw: DataFrame, protocol: str, text: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
