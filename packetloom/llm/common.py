@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.session import scratch_path
 
+#: A filter of keys has so many longs (1 MB) at any size, and so many bits for each key.
+FILTER_LONGS, PROBES = 1 << 17, 4
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back. The folder goes when the driver ends."""
@@ -47,3 +52,28 @@ def range_bucket(value: Column, bounds: list) -> Column:
         return F.when(value >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
     return tree(0, len(bounds))
+
+
+def may_be_among(keys: DataFrame, *columns: str) -> Callable[..., Column]:
+    """A condition on columns of the same types as ``columns``: false only for keys that ``keys`` lacks, never null.
+
+    So rows that surely have no partner needn't move to an exact join. The filter is one row of one size, whatever ``keys``
+    holds, and is sent to all tasks; it is written first. With many millions of keys it is full, and all rows move.
+    """
+
+    def places(*key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(*key, F.lit(i)), F.lit(FILTER_LONGS * 64)) for i in range(PROBES)]
+
+    bits = keys.select(F.explode(F.array(*places(*map(F.col, columns)))).alias("bit"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
+    longs = bits.groupBy(F.call_function("div", "bit", F.lit(64)).alias("id")).agg(F.bit_or(one).alias("bits"))
+    every = keys.sparkSession.range(FILTER_LONGS).join(longs, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    found = written(every.agg(F.sort_array(F.collect_list(F.struct("id", "bits")))["bits"].alias("longs")), "key-filter").scalar()
+
+    def condition(*key: Column) -> Column:
+        passed = F.lit(True)
+        for bit in places(*key):
+            passed = passed & (F.getbit(F.get(found, F.call_function("div", bit, F.lit(64)).cast("int")), (bit % 64).cast("int")) == 1)
+        return passed
+
+    return condition

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import free_name, written
+from packetloom.llm.common import free_name, may_be_among, written
 
 BITS, TERMS_AT_ONCE = 64, 1 << 16
 
@@ -223,9 +223,8 @@ def one_of_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one left of each root in ``decided`` (doc_id, key, root), its smallest (doc_id, key).
 
     Decisions name a row by its id and its text's hash, so different texts under one id are decided apart. Of equal rows
-    one stays. Rows without an id can't be named by a decision, and stay. The rows that go are written first, so their
-    size is known when the join is planned: texts move only if they are over Spark's threshold for sending them to all
-    executors.
+    one stays. Rows without an id can't be named by a decision, and stay. Only rows that may go move to the
+    join that drops them; ``docs`` is read for each part.
     """
     key = free_name(docs, "key__")
     named = written(decided.where(F.col("doc_id").isNotNull()), "decisions")
@@ -233,7 +232,9 @@ def one_of_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
     stays = F.struct("doc_id", "key") == F.col("least")
     gone = written(named.join(least, "root").where(~stays).select("doc_id", F.col("key").alias(key)).distinct(), "dropped-rows")
     repeated = written(named.groupBy("doc_id", F.col("key").alias(key)).count().where("count > 1").drop("count"), "repeated-rows")
-    kept = docs.withColumn(key, F.xxhash64("text")).join(gone, ["doc_id", key], "left_anti")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    possible = may_be_among(gone, "doc_id", key)(F.col("doc_id").cast("long"), F.col(key))
+    kept = rows.where(~possible).unionByName(rows.where(possible).join(gone, ["doc_id", key], "left_anti").select(rows.columns))
     if repeated.isEmpty():
         return kept.select(docs.columns)
     once = kept.join(repeated, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])

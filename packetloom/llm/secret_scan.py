@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import free_name, scratch_path, written
+from packetloom.llm.common import free_name, may_be_among, scratch_path, written
 
 
 @dataclass(frozen=True)
@@ -163,13 +163,14 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 def redact(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced, after bringing the ledger up to date; all columns are kept.
 
-    Only entries with findings are joined, by content. They are written first, so their size is known when the join is
-    planned: texts move only if they are over Spark's threshold for sending them to all executors.
+    Only entries with findings are joined, by content, and only texts that may have one move to that join; all others stay
+    where they are. ``docs`` is read for each part, so it should be a table.
     """
     update_ledger(docs.select(F.col(path).alias("path"), F.col(text).alias("text")), ledger, rule_version)
     blob_, spans_ = free_name(docs, "blob"), free_name(docs, "spans")
     entries = known_entries(docs.sparkSession, ledger, rule_version).where(F.size("spans") > 0)
     entries = written(entries.select(F.col("blob").alias(blob_), F.col("spans").alias(spans_)), "findings")
-    joined = docs.join(entries, blob(F.col(text)) == F.col(blob_), "left")
+    possible = may_be_among(entries, blob_)(blob(F.col(text)))
+    joined = docs.where(possible).join(entries, blob(F.col(text)) == F.col(blob_), "left")
     clean = F.when(F.col(spans_).isNotNull(), redacted(F.col(text), F.col(spans_))).otherwise(F.col(text))
-    return joined.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns))
+    return joined.select(*(clean.alias(c) if c == text else F.col(c) for c in docs.columns)).union(docs.where(~possible))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import written
+from packetloom.llm.common import may_be_among, written
 from packetloom.llm.near_duplicates import BITS, components, one_of_each, plan, signed
 from packetloom.llm.wordhash import WHITE_SPACE, RangeHash, blocks, mixed, spans
 
@@ -225,7 +225,8 @@ def verified(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     wanted = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
     keys = written(nodes.select("node", "key").join(wanted, "node", "left_semi"), "asked-keys")
-    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(keys, "key").dropDuplicates(["node"]).select("node", "text")
+    possible = may_be_among(keys, "key")(F.xxhash64("text"))
+    texts = docs.where(possible).select(F.xxhash64("text").alias("key"), "text").join(keys, "key").dropDuplicates(["node"]).select("node", "text")
     sets = written(texts.mapInArrow(of, "node long, shingles array<int>"), "asked-sets")
     both = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))

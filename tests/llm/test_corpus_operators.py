@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from llm.helpers import awkward, prose, texts_of
 from packetloom.llm import line_dedup, near_duplicates, quality, secret_scan, toxicity, url_filter
-from packetloom.llm.common import range_bounds, range_bucket, scratch_path
+from packetloom.llm.common import may_be_among, range_bounds, range_bucket, scratch_path
 from packetloom.llm.wordhash import RangeHash
 
 
@@ -82,6 +82,15 @@ def test_urls(spark, monkeypatch, limit):
     assert {r.verdict for r in url_filter.judge(frame, entries.limit(0)).collect()} == {"allow"}
 
 
+def test_filter_of_keys(spark):
+    """All keys pass, almost no others, and nothing passes a filter of none."""
+    rows = spark.range(20_000).select((F.col("id") * 7919).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("b"))
+    keys = rows.where("a % 3 = 0")
+    passed = rows.select("a", may_be_among(keys, "a", "b")(F.col("a"), F.col("b")).alias("p")).collect()
+    assert all(r.p for r in passed if r.a % 3 == 0) and sum(r.p for r in passed if r.a % 3) < 20
+    assert rows.where(may_be_among(keys.limit(0), "a")(F.col("a"))).count() == 0
+
+
 def test_segments_hold_what_the_filter_holds(spark):
     keys = spark.range(3000).select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("key"))
     asked = spark.range(20_000).select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("key"))
