@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from packetloom.session import scratch_path
 
 #: A filter of keys has so many longs (1 MB) at any size, and so many bits for each key.
-FILTER_LONGS, PROBES = 1 << 17, 4
+FILTER_LONGS, PROBES = 1 << 17, 2
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -61,19 +62,21 @@ def may_be_among(keys: DataFrame, *columns: str) -> Callable[..., Column]:
     holds, and is sent to all tasks; it is written first. With many millions of keys it is full, and all rows move.
     """
 
-    def places(*key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(*key, F.lit(i)), F.lit(FILTER_LONGS * 64)) for i in range(PROBES)]
+    def place(*key: Column) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(FILTER_LONGS)).cast("int")
 
-    bits = keys.select(F.explode(F.array(*places(*map(F.col, columns)))).alias("bit"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
-    longs = bits.groupBy(F.call_function("div", "bit", F.lit(64)).alias("id")).agg(F.bit_or(one).alias("bits"))
+    def mask(*key: Column) -> Column:
+        """The bits of a key, in the one long that it has: so a task holds the filter once."""
+        more = F.xxhash64(*key, F.lit(1))
+        one = [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.call_function("shiftright", more, F.lit(8 * i)), F.lit(64)).cast("int")) for i in range(PROBES)]
+        return reduce(Column.bitwiseOR, one)
+
+    of = [F.col(c) for c in columns]
+    longs = keys.select(place(*of).alias("id"), mask(*of).alias("bits")).groupBy("id").agg(F.bit_or("bits").alias("bits"))
     every = keys.sparkSession.range(FILTER_LONGS).join(longs, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     found = written(every.agg(F.sort_array(F.collect_list(F.struct("id", "bits")))["bits"].alias("longs")), "key-filter").scalar()
 
     def condition(*key: Column) -> Column:
-        passed = F.lit(True)
-        for bit in places(*key):
-            passed = passed & (F.getbit(F.get(found, F.call_function("div", bit, F.lit(64)).cast("int")), (bit % 64).cast("int")) == 1)
-        return passed
+        return F.get(found, place(*key)).bitwiseOR(F.bitwise_not(mask(*key))) == -1
 
     return condition
