@@ -30,8 +30,9 @@ def flow_rows(key_rows: DataFrame, sparse_rows: DataFrame) -> DataFrame:
     return ranked[0].unionByName(ranked[1])
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("t0", "file_rank", "seq")
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """Ascending ``by``, t0, kept rows before others, and place in the files, as far as ``rows`` has these columns."""
+    return rows.orderBy(*by, *(c for c in ("t0", "part", "file_rank", "seq") if c in rows.columns))
 
 
 def boundaries(rows: DataFrame, splits: tuple[float, float] = SPLITS) -> tuple[float, float] | None:
@@ -69,6 +70,12 @@ def key_json(keys: tuple[str, ...]) -> Column:
     return F.to_json(F.struct(*sorted(keys)), {"ignoreNullFields": "false"})
 
 
+def key_documents(kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Column ``value``: a document for each kept key, by ascending key."""
+    found = kept.select(key_json(keys).alias("key")).orderBy("key")
+    return found.select(F.concat(F.lit('{"key":'), "key", F.lit(',"source_split":"train"}')).alias("value"))
+
+
 def flow_totals(rows: DataFrame, train_end: float, keys: tuple[str, ...] = MODBUS.key) -> DataFrame:
     """Packets of each flow before the end of train; up to it, if there are none before. ``first``: first row by order."""
     strict = rows.where(F.col("t0") < train_end)
@@ -113,9 +120,9 @@ def other_rows(rows: DataFrame, kept: DataFrame, k: int, keys: tuple[str, ...] =
 
 
 def all_flow_rows(kept: DataFrame, other: DataFrame) -> DataFrame:
-    """Kept rows, then the others, as one table; on equal t0 kept rows come first (``part``)."""
-    names = other.columns
-    return kept.select(*names, F.lit(0).alias("part")).unionByName(other.withColumn("part", F.lit(1)))
+    """Kept rows, then the others, as one table; on equal t0 kept rows come first (``part``), in their order if they have one."""
+    names = [*other.columns, *(c for c in ("file_rank", "seq") if c in kept.columns)]
+    return kept.select(*names, F.lit(0).alias("part")).unionByName(other.withColumn("part", F.lit(1)), allowMissingColumns=True)
 
 
 def split_counts(rows: DataFrame, ends: tuple[float, float]) -> DataFrame:

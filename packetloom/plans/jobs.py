@@ -128,8 +128,8 @@ def flatten_features(spark: SparkSession, windows_from: str | None, sessions_fro
 
 
 def postprocess(spark: SparkSession, features: str, target: str, protocol: str = "modbus", windows: tuple[int, ...] = window_features.WINDOWS, top: dict[int, int] | None = None, splits: tuple[float, float] = retention.SPLITS, split_files: bool = False) -> dict:
-    """Feature documents of :func:`preprocess` to kept flows, others, global rows, all flow rows and the kept keys, in
-    ``target/<name>/window_sec=<w>``, with split boundaries and counts in the summary."""
+    """Feature documents of :func:`preprocess` to kept flows, others, global rows, all flow rows, each in order of t0, and the
+    kept keys, in ``target/<name>/window_sec=<w>``, with split boundaries and counts in the summary."""
     family = PARSERS[protocol][1]
     top = top or retention.TOP_FLOWS
     summary = {"schema_version": "v1", "keep_policy": {"type": "topk_by_pkt_cnt", "topk_by_window": top}, "split_policy": {"type": "chronological", "ratios": [*splits, round(1 - sum(splits), 10)]}, "windows": []}
@@ -151,14 +151,14 @@ def postprocess(spark: SparkSession, features: str, target: str, protocol: str =
         counts = {}
         for name, rows in outputs.items():
             counts[name] = {r.split: r.n for r in retention.split_counts(rows, ends).collect()}
-            plain = rows.drop("seq", "file_rank", "part")
+            plain = retention.in_order(rows).drop("seq", "file_rank", "part")
             documents = window_features.rendered(plain.drop(*family.key) if name == "global_post" else plain, family)
             tables.write_lines(documents, f"{target}/{name}/window_sec={w}")
             if split_files:
-                by = rows.withColumn("kind", retention.split_of(F.col("t0"), ends)).drop("seq", "file_rank", "part")
+                by = retention.in_order(rows.withColumn("kind", retention.split_of(F.col("t0"), ends)), "kind").drop("seq", "file_rank", "part")
                 parts = window_features.rendered(by.drop(*family.key) if name == "global_post" else by, family).withColumnRenamed("kind", "split")
                 tables.write_lines(parts, f"{target}/{name}.splits/window_sec={w}", ("split",))
-        tables.write_lines(kept.select(retention.key_json(family.key).alias("value")).orderBy("value"), f"{target}/keep_keys.train/window_sec={w}")
+        tables.write_lines(retention.key_documents(kept, family.key), f"{target}/keep_keys.train/window_sec={w}")
         seen = retention.flow_totals(flows, ends[0], family.key).count()
         summary["windows"].append({"window_sec": w, "split": {"train_end_t0": ends[0], "val_end_t0": ends[1], "counts": counts}, "keep_policy": {"top_k": k, "train_unique_keys_seen": seen}})
     tables.write_document(spark, f"{target}/postprocess.meta.json", summary)

@@ -39,6 +39,12 @@ def test_chain(spark, tmp_path):
     flows = spark.read.text(str(tmp_path / "post" / "flow_all" / "window_sec=1"))
     assert flows.agg(F.sum(F.get_json_object("value", "$.pkt_cnt").cast("long"))).first()[0] == 400
     assert sum(one["split"]["counts"]["flow_all"].values()) == flows.count()
+    for name in ("flow_kept", "other", "global_post", "flow_all", "flow_all.splits"):
+        for folder in {f.parent for f in (tmp_path / "post" / name / "window_sec=1").rglob("part-*.txt")}:
+            times = [json.loads(line)["t0"] for file in sorted(folder.glob("part-*.txt")) for line in file.read_text().splitlines()]
+            assert times == sorted(times) and times
+    keys = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "post" / "keep_keys.train" / "window_sec=1")).collect()]
+    assert len(keys) == 2 and all(set(k) == {"key", "source_split"} and set(k["key"]) == set(KEYS) and k["source_split"] == "train" for k in keys)
     assert json.loads((tmp_path / "post" / "postprocess.meta.json").read_text())["schema_version"] == "v1"
 
 
